@@ -255,23 +255,24 @@ def hierarchy_listing(
     )
 
 
-def _in_holding(t: Tables, holding_id: int) -> DataFrame:
-    """Enrolments under an existing holding."""
-    holding = renamed(t["holdings"].filter(F.col("id") == holding_id), holding_id="id")
-    return (
-        t["institution_enrollments"]
-        .filter(F.col("holding_id") == holding_id)
-        .join(holding, "holding_id")
-    )
-
+def _attempts_in_holding(
+    t: Tables, holding_id: int, net: DataFrame, chosen: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """Attempts times enrolments per class and exam: ``*keys, exam, n_user_id``.
 
-def _attempts_per_class(t: Tables, rolls: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attempts times enrolments per class and exam: ``*keys, exam, n_user_id``."""
+    Only enrolments under the holding count, and only if it exists. The holding
+    is a single number here; a join on it would send every enrolment to one task.
+    """
+    holdings = t["holdings"].filter(F.col("id") == holding_id).agg(F.count(F.lit(1))).scalar()
+    enrolments = t["institution_enrollments"].filter(F.col("holding_id") == holding_id)
     return (
-        rolls.join(student_ids(t), "user_id")
+        roll(enrolments, net, keys, agree=["college_id", "institution_id"])
+        .join(student_ids(t), "user_id")
         .join(attempts(t, chosen), "user_id")
         .groupBy(*keys, "exam")
         .agg(F.sum(F.col("attempts") * F.col("enrolments")).alias("n_user_id"))
+        .withColumn("n_user_id", F.col("n_user_id") * holdings)
+        .filter(F.col("n_user_id") > 0)
     )
 
 
@@ -323,8 +324,7 @@ def students_by_exam_holding(
     """Attempts per institution, class and exam in a city, for one holding."""
     keys = ["institution", "college", "classroom", "city"]
     net = with_city(network(t), t).filter((F.col("year") == year) & (F.col("city_id") == city_id))
-    rolls = roll(_in_holding(t, holding_id), net, keys, agree=["college_id", "institution_id"])
-    return _attempts_per_class(t, rolls, exams(t), keys).select(
+    return _attempts_in_holding(t, holding_id, net, exams(t), keys).select(
         F.col("institution").alias("curso"),
         F.col("college").alias("escola"),
         F.col("classroom").alias("turma"),
@@ -344,8 +344,7 @@ def scoped_exams(
     keys = ["institution", "college", "classroom"]
     chosen = exams(t).join(holding_scope(t, holding_id), "quiz_id", "left_semi")
     net = network(t).filter((F.col("year") == year) & F.col("college").ilike(school_pattern))
-    rolls = roll(_in_holding(t, holding_id), net, keys, agree=["college_id", "institution_id"])
-    return _attempts_per_class(t, rolls, chosen, keys).select(
+    return _attempts_in_holding(t, holding_id, net, chosen, keys).select(
         F.col("institution").alias("curso"),
         F.col("college").alias("escola"),
         F.col("classroom").alias("turma"),
