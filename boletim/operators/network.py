@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from boletim.schema import Tables
 
 
 def renamed(df: DataFrame, **names: str) -> DataFrame:
     """Select ``old`` as ``new`` for every ``new=old``; joins then need no prefixes."""
-    return df.select(*[F.col(old).alias(new) for new, old in names.items()])
+    return df.selectExpr(*[f"{old} AS {new}" for new, old in names.items()])
 
 
 def institutions(t: Tables) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Tables = Mapping[str, DataFrame]
@@ -85,7 +84,28 @@ def conform(name: str, df: DataFrame) -> DataFrame:
             kind = (
                 _grade_type(actual) if isinstance(field.dataType, T.DecimalType) else field.dataType
             )
-            columns.append(F.col(field.name).cast(kind).alias(field.name))
+            columns.append(f"CAST({field.name} AS {kind.simpleString()}) AS {field.name}")
     if problems:
         raise ValueError(f"table {name}: " + "; ".join(problems))
-    return df.select(*columns)
+    return df.selectExpr(*columns)
+
+
+class LazyTables(Mapping[str, DataFrame]):
+    """The report tables, each read and checked when a report first asks for it."""
+
+    def __init__(self, read: Callable[[str], DataFrame]) -> None:
+        self._read = read
+        self._ready: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise KeyError(name)
+        if name not in self._ready:
+            self._ready[name] = conform(name, self._read(name))
+        return self._ready[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(SCHEMAS)
+
+    def __len__(self) -> int:
+        return len(SCHEMAS)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from boletim.schema import SCHEMAS, conform
+from boletim.schema import LazyTables
 
 
-def read_parquet(spark: SparkSession, path: str, suffix: str = "") -> dict[str, DataFrame]:
-    """Read ``path/<table><suffix>`` for every report table."""
+def read_parquet(spark: SparkSession, path: str, suffix: str = "") -> LazyTables:
+    """Read ``path/<table><suffix>`` for each report table that is asked for."""
     root = path.rstrip("/")
-    return {
-        name: conform(name, spark.read.parquet(f"{root}/{name}{suffix}")) for name in SCHEMAS
-    }
+    return LazyTables(lambda name: spark.read.parquet(f"{root}/{name}{suffix}"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boletim.schema import FACTS, SCHEMAS, conform
+from boletim.schema import FACTS, LazyTables
 
 
 @dataclass(frozen=True)
@@ -54,23 +54,20 @@ def read_jdbc(
     splits: Mapping[str, Split] | None = None,
     predicates: Mapping[str, Sequence[str]] | None = None,
     schema: str | None = None,
-) -> dict[str, DataFrame]:
-    """Read every report table. Each fact table must have a split or predicates."""
+) -> LazyTables:
+    """Read the report tables asked for. Each fact table must have a split or predicates."""
     splits = splits or {}
     predicates = predicates or {}
     whole = [name for name in FACTS if name not in splits and name not in predicates]
     if whole:
         raise ValueError(f"give a split or predicates for {', '.join(whole)}")
-    tables = {}
-    for name in SCHEMAS:
-        options = jdbc_options(connection, name, splits.get(name), schema=schema)
+
+    def read(name: str) -> DataFrame:
         if name in predicates:
-            url = options.pop("url")
-            dbtable = options.pop("dbtable")
-            for key in ("partitionColumn", "lowerBound", "upperBound", "numPartitions"):
-                options.pop(key, None)
-            df = spark.read.jdbc(url, dbtable, predicates=list(predicates[name]), properties=options)
-        else:
-            df = spark.read.format("jdbc").options(**options).load()
-        tables[name] = conform(name, df)
-    return tables
+            options = jdbc_options(connection, name, schema=schema)
+            url, table = options.pop("url"), options.pop("dbtable")
+            return spark.read.jdbc(url, table, predicates=list(predicates[name]), properties=options)
+        options = jdbc_options(connection, name, splits.get(name), schema=schema)
+        return spark.read.format("jdbc").options(**options).load()
+
+    return LazyTables(read)

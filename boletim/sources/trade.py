@@ -8,10 +8,25 @@ enrolments whose school differs from their classroom's, classes without exams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boletim.schema import SCHEMAS, conform
+from boletim.schema import LazyTables
+
+# The columns used, with the types of the files; naming them spares a job per
+# file to find them.
+_FILES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "customer": "c_custkey bigint",
+    "part": "p_partkey bigint, p_brand string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_linestatus string",
+}
 
 _EXAM_SUFFIXES = (
     " LP C1",
@@ -28,124 +43,144 @@ _EXAM_SUFFIXES = (
 
 def _two_children(parent: DataFrame, parent_column: str) -> DataFrame:
     """Two rows per parent: ``k`` is 0 or 1 and ids stay unique."""
-    return parent.select(
-        F.col("id").alias(parent_column), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
-    ).withColumn("id", F.col(parent_column) * 2 + F.col("k"))
+    return parent.selectExpr(f"id AS {parent_column}", "explode(array(0, 1)) AS k").selectExpr(
+        f"{parent_column} * 2 + k AS id", "k", parent_column
+    )
 
 
-def _exam_suffix(key: Column) -> Column:
-    names = F.array(*[F.lit(suffix) for suffix in _EXAM_SUFFIXES])
-    return F.get(names, (key % len(_EXAM_SUFFIXES)).cast("int"))
+class _School:
+    """One method per report table, over the files of one folder."""
 
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark = spark
+        self._folder = folder.rstrip("/")
 
-def school_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Build the sixteen report tables lazily from the Parquet files in ``sf_dir``."""
+    def _file(self, name: str) -> DataFrame:
+        return self._spark.read.schema(_FILES[name]).parquet(f"{self._folder}/{name}.parquet")
 
-    def source(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    def holdings(self) -> DataFrame:
+        return self._file("region").selectExpr("r_regionkey AS id", "r_name AS name")
 
-    region, nation, supplier = source("region"), source("nation"), source("supplier")
-    customer, part = source("customer"), source("part")
-    orders, lineitem = source("orders"), source("lineitem")
+    cities = holdings
 
-    places = region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    year = F.when(F.col("n_nationkey") % 2 == 0, " - 2024").otherwise(" - 2023")
-    institutions = nation.select(
-        F.col("n_nationkey").alias("id"),
-        F.concat("n_name", year).alias("name"),
-        F.col("n_regionkey").alias("holding_id"),
-    )
+    def regions(self) -> DataFrame:
+        return self._file("nation").selectExpr("n_nationkey AS id", "n_regionkey AS city_id")
 
-    key = F.col("s_suppkey")
-    colleges = supplier.select(
-        key.alias("id"),
-        F.when(key % 20 == 8, "Wiquadro")
-        .when(key % 20 == 9, "TESTE")
-        .when(key % 3 == 0, F.concat(F.lit("ESCOLA MUNICIPAL "), "s_name"))
-        .otherwise(F.col("s_name"))
-        .alias("name"),
-        F.col("s_nationkey").alias("institution_id"),
-        (2023 + key % 2).cast("int").alias("year"),
-        F.col("s_nationkey").alias("region_id"),
-    )
-    courses = _two_children(colleges.filter(F.col("id") % 7 != 3), "institution_college_id")
-    courses = courses.withColumn(
-        "name", F.concat(F.lit("Curso "), (F.col("k") + 1).cast("string"))
-    )
-    levels = _two_children(courses.filter(F.col("id") % 11 != 5), "course_id")
-    levels = levels.withColumn("name", F.concat((F.col("k") + 1).cast("string"), F.lit("º ano")))
-    classrooms = _two_children(levels, "level_id")
-    classrooms = classrooms.withColumn(
-        "name", F.when(F.col("k") == 0, "Turma A").otherwise("Turma B")
-    )
+    def institutions(self) -> DataFrame:
+        return self._file("nation").selectExpr(
+            "n_nationkey AS id",
+            "concat(n_name, if(n_nationkey % 2 = 0, ' - 2024', ' - 2023')) AS name",
+            "n_regionkey AS holding_id",
+        )
+
+    def institution_colleges(self) -> DataFrame:
+        return self._file("supplier").selectExpr(
+            "s_suppkey AS id",
+            """CASE WHEN s_suppkey % 20 = 8 THEN 'Wiquadro'
+                    WHEN s_suppkey % 20 = 9 THEN 'TESTE'
+                    WHEN s_suppkey % 3 = 0 THEN concat('ESCOLA MUNICIPAL ', s_name)
+                    ELSE s_name END AS name""",
+            "s_nationkey AS institution_id",
+            "int(2023 + s_suppkey % 2) AS year",
+            "s_nationkey AS region_id",
+        )
 
-    schools = supplier.agg(F.count(F.lit(1))).scalar()
-    customer_key, order_key = F.col("o_custkey"), F.col("o_orderkey")
-    enrolments = (
-        orders.filter(F.col("o_orderpriority") == "1-URGENT")
-        .select(
-            customer_key.alias("user_id"),
-            ((customer_key % schools) * 8 + order_key % 8).alias("classroom_id"),
-            ((customer_key + F.when(order_key % 13 == 0, 1).otherwise(0)) % schools).alias(
-                "college_id"
-            ),
+    def institution_courses(self) -> DataFrame:
+        colleges = self._file("supplier").selectExpr("s_suppkey AS id").filter("id % 7 <> 3")
+        return _two_children(colleges, "institution_college_id").selectExpr(
+            "id", "concat('Curso ', k + 1) AS name", "institution_college_id"
         )
-        .join(
-            supplier.select(
-                key.alias("college_id"), F.col("s_nationkey").alias("institution_id")
-            ),
-            "college_id",
+
+    def institution_levels(self) -> DataFrame:
+        courses = self.institution_courses().filter("id % 11 <> 5")
+        return _two_children(courses, "course_id").selectExpr(
+            "id", "concat(k + 1, 'º ano') AS name", "course_id"
         )
-        .join(
-            nation.select(
-                F.col("n_nationkey").alias("institution_id"),
-                F.col("n_regionkey").alias("holding_id"),
-            ),
-            "institution_id",
+
+    def institution_classrooms(self) -> DataFrame:
+        return _two_children(self.institution_levels(), "level_id").selectExpr(
+            "id", "if(k = 0, 'Turma A', 'Turma B') AS name", "level_id"
         )
-    )
 
-    lines = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"]).select(
-        F.col("o_custkey").alias("user_id"),
-        F.col("l_partkey").alias("quiz_id"),
-        "l_linestatus",
-        "l_quantity",
-    )
+    def users(self) -> DataFrame:
+        return self._file("customer").selectExpr("c_custkey AS id")
+
+    def institution_enrollments(self) -> DataFrame:
+        supplier, nation = self._file("supplier"), self._file("nation")
+        customer, order = F.col("o_custkey"), F.col("o_orderkey")
+        schools = supplier.agg(F.count(F.lit(1))).scalar()
+        placed = (
+            self._file("orders")
+            .filter("o_orderpriority = '1-URGENT'")
+            .select(
+                customer.alias("user_id"),
+                ((customer % schools) * 8 + order % 8).alias("classroom_id"),
+                ((customer + F.expr("if(o_orderkey % 13 = 0, 1, 0)")) % schools).alias("college_id"),
+            )
+        )
+        colleges = supplier.selectExpr("s_suppkey AS college_id", "s_nationkey AS institution_id")
+        institutions = nation.selectExpr(
+            "n_nationkey AS institution_id", "n_regionkey AS holding_id"
+        )
+        return placed.join(colleges, "college_id").join(institutions, "institution_id")
+
+    def quizzes(self) -> DataFrame:
+        suffixes = ", ".join(f"'{suffix}'" for suffix in _EXAM_SUFFIXES)
+        number = f"int(p_partkey % {len(_EXAM_SUFFIXES)})"
+        return self._file("part").selectExpr(
+            "p_partkey AS id", f"concat(p_brand, get(array({suffixes}), {number})) AS name"
+        )
+
+    def _lines(self) -> DataFrame:
+        orders = self._file("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS user_id")
+        return self._file("lineitem").join(orders, "l_orderkey")
+
+    def quiz_user_progresses(self) -> DataFrame:
+        return (
+            self._lines()
+            .filter("user_id % 10 <> 4")
+            .selectExpr("user_id", "l_partkey AS quiz_id", "l_linestatus = 'F' AS finished")
+        )
+
+    def quiz_grades(self) -> DataFrame:
+        return (
+            self._lines()
+            .groupBy("user_id", "l_partkey")
+            .agg(F.max("l_quantity").alias("best"))
+            .selectExpr("user_id", "l_partkey AS quiz_id", "CAST(best AS DECIMAL(5, 1)) AS average")
+        )
+
+    def institutions_quizzes(self) -> DataFrame:
+        supplier = self._file("supplier").selectExpr(
+            "s_suppkey AS l_suppkey", "s_nationkey AS institution_id"
+        )
+        return (
+            self._file("lineitem")
+            .filter("l_linenumber = 1")
+            .join(supplier, "l_suppkey")
+            .selectExpr("institution_id", "l_partkey AS quiz_id")
+            .distinct()
+        )
+
+    def institutions_learning_modules(self) -> DataFrame:
+        return self._file("nation").selectExpr(
+            "n_nationkey AS institution_id", "n_nationkey % 7 AS learning_module_id"
+        )
+
+    def learning_module_quizzes(self) -> DataFrame:
+        return (
+            self._file("part")
+            .filter("p_partkey % 5 = 0")
+            .selectExpr("p_partkey % 7 AS learning_module_id", "p_partkey AS quiz_id")
+        )
+
+
+def school_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
+    """The sixteen report tables over the Parquet files in ``sf_dir``."""
+    school = _School(spark, sf_dir)
+
+    def build(name: str) -> DataFrame:
+        make: Callable[[], DataFrame] = getattr(school, name)
+        return make()
 
-    tables = {
-        "holdings": places,
-        "cities": places,
-        "regions": nation.select(
-            F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("city_id")
-        ),
-        "institutions": institutions,
-        "institution_colleges": colleges,
-        "institution_courses": courses,
-        "institution_levels": levels,
-        "institution_classrooms": classrooms,
-        "users": customer.select(F.col("c_custkey").alias("id")),
-        "institution_enrollments": enrolments,
-        "quizzes": part.select(
-            F.col("p_partkey").alias("id"),
-            F.concat("p_brand", _exam_suffix(F.col("p_partkey"))).alias("name"),
-        ),
-        "quiz_user_progresses": lines.filter(F.col("user_id") % 10 != 4).select(
-            "user_id", "quiz_id", (F.col("l_linestatus") == "F").alias("finished")
-        ),
-        "quiz_grades": lines.groupBy("user_id", "quiz_id").agg(
-            F.max("l_quantity").cast("decimal(5,1)").alias("average")
-        ),
-        "institutions_quizzes": lineitem.filter(F.col("l_linenumber") == 1)
-        .join(supplier, lineitem["l_suppkey"] == supplier["s_suppkey"])
-        .select(F.col("s_nationkey").alias("institution_id"), F.col("l_partkey").alias("quiz_id"))
-        .distinct(),
-        "institutions_learning_modules": nation.select(
-            F.col("n_nationkey").alias("institution_id"),
-            (F.col("n_nationkey") % 7).alias("learning_module_id"),
-        ),
-        "learning_module_quizzes": part.filter(F.col("p_partkey") % 5 == 0).select(
-            (F.col("p_partkey") % 7).alias("learning_module_id"),
-            F.col("p_partkey").alias("quiz_id"),
-        ),
-    }
-    return {name: conform(name, tables[name]) for name in SCHEMAS}
+    return LazyTables(build)

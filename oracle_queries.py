@@ -65,8 +65,11 @@ _TABLES = {
         FROM nation""",
     "learning_module_quizzes": """
         SELECT p_partkey % 7 AS learning_module_id, p_partkey AS quiz_id FROM part WHERE p_partkey % 5 = 0""",
-    # Shared by the reports: a row per complete classroom chain, and per finished attempt of a known
-    # student in a known exam.
+}
+
+# Shared by the reports: a row per complete classroom chain, and per finished attempt of a known
+# student in a known exam.
+_SHARED = {
     "chain": """
         SELECT c.id AS classroom_id, c.name AS classroom, l.name AS level, e.id AS college_id, e.name AS college,
                e.year, e.region_id, i.id AS institution_id, i.name AS institution
@@ -89,8 +92,9 @@ _EXCLUDED = "('wiquadro', 'teste', 'escola demonstração', 'escola1', 'escola2'
 
 
 def _with(steps: dict[str, str], final: str) -> str:
-    body = ",\n".join(f"{name} AS ({text})" for name, text in {**_TABLES, **steps}.items())
-    return f"WITH {body}\n{final}"
+    """Complete text over the report tables, which ``texts`` puts in front."""
+    body = ",\n".join(f"{name} AS ({text})" for name, text in {**_SHARED, **steps}.items())
+    return f"{body}\n{final}"
 
 
 def _percent(part: str, total: str, digits: int) -> str:
@@ -320,8 +324,17 @@ def _json() -> str:
     )
 
 
-def texts() -> dict[str, str]:
-    """DuckDB text per registered query."""
+def texts(derived: bool = True) -> dict[str, str]:
+    """DuckDB text per registered query.
+
+    With ``derived`` the report tables are derived from the given tables; without,
+    they are expected to exist under their own names.
+    """
+    tables = ",\n".join(f"{name} AS ({text})" for name, text in _TABLES.items()) + ",\n"
+    return {name: f"WITH {tables if derived else ''}{text}" for name, text in _reports().items()}
+
+
+def _reports() -> dict[str, str]:
     words = _row_text(_R3_COLUMNS)
     return {
         "r1_progress_by_exam": _progress(),
