@@ -15,13 +15,13 @@ def rate(part: Column, total: Column, scale: int) -> Column:
     return F.round(share * 100, scale).cast(f"decimal(20,{scale})")
 
 
-def mean(total: Column, count: Column, total_scale: int = 6) -> Column:
-    """``total / count`` to one digit after the point; NULL when nothing was counted.
+def mean(units: Column, count: Column, scale: int) -> Column:
+    """Mean to one digit after the point; NULL when nothing was counted.
 
-    The operand types leave Spark at least ``total_scale + 13`` digits after the
-    point, too many for a second rounding to show for any count below 10^12.
+    ``units`` is the sum in whole units of 10^-``scale``. Whole numbers are divided
+    after half the divisor is added, so no second rounding can occur.
     """
-    quotient = total.cast(f"decimal(22,{total_scale})") / F.nullif(count, F.lit(0)).cast(
-        "decimal(12,0)"
-    )
-    return quotient.cast("decimal(10,1)")
+    divisor = F.nullif(count, F.lit(0)) * 10 ** (scale - 1)
+    tenths = F.call_function("div", F.abs(units) * 2 + divisor, divisor * 2)
+    signed = F.when(units < 0, -tenths).otherwise(tenths)
+    return (signed.cast("decimal(20,0)") / 10).cast("decimal(10,1)")

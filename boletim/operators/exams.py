@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boletim.operators.network import renamed
+from boletim.operators.network import renamed, stacked
 from boletim.schema import Tables
 
 
@@ -60,38 +60,44 @@ def attempts(t: Tables, chosen: DataFrame) -> DataFrame:
     )
 
 
+def grade_scale(t: Tables) -> int:
+    """Digits after the point in the grades."""
+    kind = t["quiz_grades"].schema["average"].dataType
+    assert isinstance(kind, T.DecimalType)
+    return kind.scale
+
+
 def graded_attempts(t: Tables, chosen: DataFrame) -> DataFrame:
     """Finished and graded attempts per student and exam name.
 
-    Columns ``user_id, exam, points, grades``: the grades summed and counted once
-    per attempt. Both facts are first reduced on the same two keys, so the join
-    of the two needs no further shuffle.
+    Columns ``user_id, exam, points, grades``: the grades, in whole units of
+    their last digit, summed and counted once per attempt. Attempts and grades
+    are stacked and reduced on their two keys in one shuffle instead of being
+    joined.
     """
-    per_quiz = ("user_id", "quiz_id")
+    units = (F.col("average") * 10 ** grade_scale(t)).cast("bigint")
     tried = (
         t["quiz_user_progresses"]
         .filter("finished")
-        .groupBy(*per_quiz)
-        .agg(F.count(F.lit(1)).alias("attempts"))
+        .select("user_id", "quiz_id", F.lit(1).alias("attempt"))
     )
-    graded = (
-        t["quiz_grades"]
-        .groupBy(*per_quiz)
-        .agg(F.sum("average").alias("points"), F.count("average").alias("grades"))
+    graded = t["quiz_grades"].select(
+        "user_id", "quiz_id", F.lit(1).alias("graded"), units.alias("units")
     )
     return (
-        tried.join(graded, list(per_quiz))
+        stacked([tried, graded])
+        .groupBy("user_id", "quiz_id")
+        .agg(
+            F.count("attempt").alias("attempts"),
+            F.count("graded").alias("graded"),
+            F.sum("units").alias("units"),
+            F.count("units").alias("grades"),
+        )
+        .filter("attempts > 0 AND graded > 0")
         .join(chosen.select("quiz_id", "exam"), "quiz_id")
         .groupBy("user_id", "exam")
         .agg(
-            F.sum(F.col("points") * F.col("attempts")).alias("points"),
+            F.sum(F.col("units") * F.col("attempts")).alias("points"),
             F.sum(F.col("grades") * F.col("attempts")).alias("grades"),
         )
     )
-
-
-def grade_scale(t: Tables) -> int:
-    """Digits after the point in the grades."""
-    kind = t["quiz_grades"].schema["average"].dataType
-    assert isinstance(kind, T.DecimalType)
-    return kind.scale

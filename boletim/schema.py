@@ -45,13 +45,13 @@ FACTS = ("quiz_user_progresses", "quiz_grades", "institution_enrollments")
 
 
 def _grade_type(actual: T.DataType) -> T.DecimalType:
-    """Decimal type in which grades are summed; at most six digits after the point.
+    """Decimal type of the grades: one to six digits after the point.
 
-    Spark keeps a scale of up to six through every product and sum, so weighted
-    means stay exact. Floating-point grades are read to six digits.
+    Sums are kept in whole units of the last digit, so they are exact and fast.
+    Floating-point grades are read to six digits.
     """
-    scale = min(actual.scale, 6) if isinstance(actual, T.DecimalType) else 6
-    return T.DecimalType(18, scale)
+    scale = min(max(actual.scale, 1), 6) if isinstance(actual, T.DecimalType) else 6
+    return T.DecimalType(15, scale)
 
 
 def _compatible(actual: T.DataType, wanted: T.DataType) -> bool:

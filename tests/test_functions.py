@@ -45,16 +45,20 @@ def test_rate(spark, scale, cases):
 
 def test_mean(spark):
     cases = [
-        (D("18.5"), 3, D("6.2")),
-        (D("12.5"), 2, D("6.3")),
-        (D("-12.5"), 2, D("-6.3")),
+        (185, 3, D("6.2")),
+        (125, 2, D("6.3")),
+        (-125, 2, D("-6.3")),
         # Just below a tie: rounding to five digits first would give 6.3.
-        (D("6249999.9"), 1000000, D("6.2")),
+        (62499999, 1000000, D("6.2")),
+        (62500000, 1000000, D("6.3")),
         (None, 0, None),
     ]
-    df = spark.createDataFrame([case[:2] for case in cases], "s decimal(38,1), c bigint")
-    found = [row[0] for row in df.select(mean(F.col("s"), F.col("c"), 1)).collect()]
+    df = spark.createDataFrame([case[:2] for case in cases], "units bigint, c bigint")
+    found = [row[0] for row in df.select(mean(F.col("units"), F.col("c"), 1)).collect()]
     assert found == [case[2] for case in cases]
+    fine = spark.createDataFrame([(6249999, 1), (6250000, 1)], "units bigint, c bigint")
+    found = [row[0] for row in fine.select(mean(F.col("units"), F.col("c"), 6)).collect()]
+    assert found == [D("6.2"), D("6.3")]
 
 
 def test_subjects(spark):

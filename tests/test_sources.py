@@ -39,7 +39,7 @@ def test_missing_and_wrong_columns_are_named(spark):
 def test_compatible_types_are_cast(spark):
     df = spark.createDataFrame([(1, 2, 6.25)], "user_id int, quiz_id int, average double")
     found = conform("quiz_grades", df)
-    assert found.dtypes == [("user_id", "bigint"), ("quiz_id", "bigint"), ("average", "decimal(18,6)")]
+    assert found.dtypes == [("user_id", "bigint"), ("quiz_id", "bigint"), ("average", "decimal(15,6)")]
 
 
 def test_jdbc_options():
