@@ -44,16 +44,18 @@ def holding_scope(t: Tables, holding_id: int) -> DataFrame:
     return reached.join(exams(t), "quiz_id", "left_semi")
 
 
-def attempts(t: Tables, chosen: DataFrame) -> DataFrame:
+def attempts(t: Tables, chosen: DataFrame, students: DataFrame) -> DataFrame:
     """Finished attempts per student and exam name: ``user_id, exam, attempts``.
 
-    Exams are matched and reduced to names before anything is shuffled by
-    student; repeated attempts then collapse on the map side.
+    Only attempts of ``students`` are kept, before anything else is done: a
+    report on a few institutions then drops most of the largest table in the one
+    shuffle, of two numbers per row, that the later steps by student also use.
     """
     return (
         t["quiz_user_progresses"]
         .filter("finished")
         .select("user_id", "quiz_id")
+        .join(students.select("user_id"), "user_id", "left_semi")
         .join(chosen.select("quiz_id", "exam"), "quiz_id")
         .groupBy("user_id", "exam")
         .agg(F.count(F.lit(1)).alias("attempts"))
@@ -67,13 +69,12 @@ def grade_scale(t: Tables) -> int:
     return kind.scale
 
 
-def graded_attempts(t: Tables, chosen: DataFrame) -> DataFrame:
-    """Finished and graded attempts per student and exam name.
+def graded_attempts(t: Tables, chosen: DataFrame, students: DataFrame) -> DataFrame:
+    """Finished and graded attempts of ``students`` per exam name.
 
     Columns ``user_id, exam, points, grades``: the grades, in whole units of
     their last digit, summed and counted once per attempt. Attempts and grades
-    are stacked and reduced on their two keys in one shuffle instead of being
-    joined.
+    are stacked and shuffled once by student, instead of being joined.
     """
     units = (F.col("average") * 10 ** grade_scale(t)).cast("bigint")
     tried = (
@@ -86,6 +87,7 @@ def graded_attempts(t: Tables, chosen: DataFrame) -> DataFrame:
     )
     return (
         stacked([tried, graded])
+        .join(students.select("user_id"), "user_id", "left_semi")
         .groupBy("user_id", "quiz_id")
         .agg(
             F.count("attempt").alias("attempts"),

@@ -1,11 +1,14 @@
 """The nine reports. Each takes the tables and parameters and returns a lazy DataFrame.
 
 Attempts and enrolments meet on the student alone, so a student with many of
-both would multiply. Each report therefore first reduces attempts to (student,
-exam name) and enrolments to (student, class name), and joins the two reduced
-sets. That join holds each (student, class, exam) once: counting its rows is
-the distinct count of students, and multiplying the carried counts gives the
-plain count, without a second shuffle for distinct values.
+both would multiply. Each report therefore first reduces enrolments to (student,
+class name), keeps the attempts of those students only, reduces these to
+(student, exam name), and joins the two reduced sets. That join holds each
+(student, class, exam) once: counting its rows is the distinct count of
+students, and multiplying the carried counts gives the plain count, without a
+shuffle for distinct values. The attempts cross the network once, by student;
+should one student hold a large part of them, adaptive execution splits that
+partition and adds a shuffle after map-side reduction.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def _classes_with_exams(t: Tables, net: DataFrame) -> DataFrame:
     students = rolls.select(F.when(takes_part, F.col("user_id")).alias("user_id"), *keys)
     finished = (
         students.join(student_ids(t), "user_id", "left_semi")
-        .join(attempts(t, exams(t)).select("user_id", "exam"), "user_id")
+        .join(attempts(t, exams(t), students).select("user_id", "exam"), "user_id")
         .groupBy(*keys, "exam")
         .agg(F.count(F.lit(1)).alias("finished"))
     )
@@ -143,7 +146,8 @@ def class_totals(
         F.when(F.col("enrolments") > 0, F.col("user_id")).alias("user_id"), *keys, "enrolments"
     )
     copies = student_ids(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("copies"))
-    graded = graded_attempts(t, exams(t).filter(like_any(F.col("exam"), exam_patterns)))
+    chosen = exams(t).filter(like_any(F.col("exam"), exam_patterns))
+    graded = graded_attempts(t, chosen, students)
     weight = F.col("enrolments") * F.col("copies")
     finished = (
         students.join(copies, "user_id")
@@ -265,10 +269,10 @@ def _attempts_in_holding(
     """
     holdings = t["holdings"].filter(F.col("id") == holding_id).agg(F.count(F.lit(1))).scalar()
     enrolments = t["institution_enrollments"].filter(F.col("holding_id") == holding_id)
+    rolls = roll(enrolments, net, keys, agree=["college_id", "institution_id"])
     return (
-        roll(enrolments, net, keys, agree=["college_id", "institution_id"])
-        .join(student_ids(t), "user_id")
-        .join(attempts(t, chosen), "user_id")
+        rolls.join(student_ids(t), "user_id")
+        .join(attempts(t, chosen, rolls), "user_id")
         .groupBy(*keys, "exam")
         .agg(F.sum(F.col("attempts") * F.col("enrolments")).alias("n_user_id"))
         .withColumn("n_user_id", F.col("n_user_id") * holdings)
@@ -300,7 +304,7 @@ def students_by_exam(
     counted = (
         rolls.select("user_id", *keys)
         .join(student_ids(t), "user_id", "left_semi")
-        .join(attempts(t, chosen).select("user_id", "exam"), "user_id")
+        .join(attempts(t, chosen, rolls).select("user_id", "exam"), "user_id")
         .groupBy(*keys, "exam")
         .agg(F.count(F.lit(1)).alias("n_user_id"))
     )

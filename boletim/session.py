@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot student's partition even where the next step then needs a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m",
     # Joins whose shuffled partitions all turn out to be this small skip the sort.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
@@ -28,6 +30,17 @@ SETTINGS = {
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings that steer adaptive execution to a running session.
+
+    The session's own broadcast threshold, time zone and shuffle partitions stay.
+    """
+    for key, value in SETTINGS.items():
+        if key.startswith(("spark.sql.adaptive.", "spark.sql.optimizer.")):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (
