@@ -114,14 +114,14 @@ def numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     part = F.shiftrightunsigned("_row", 33)
     row = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranges.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per range, so this window is as small as the number of partitions.
+    # One row per range: the window and the broadcast are as small as the number of partitions.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
     return (
         ranges.withColumn("_part", part)
-        .join(starts, "_part")
+        .join(F.broadcast(starts), "_part")
         .withColumn("position", F.col("_start") + row)
         .drop("_part", "_start", "_row")
     )

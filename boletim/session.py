@@ -49,6 +49,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Room for the compiled code of all reports, which otherwise evict each other.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -27,8 +27,7 @@ def json_rows(df: DataFrame) -> DataFrame:
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``path/columns`` (the names, one JSON array) and ``path/data`` (a row per line)."""
     names = json.dumps(df.columns, ensure_ascii=False)
-    spark = df.sparkSession
-    header = spark.range(1).select(F.lit(names).alias("linha"))
+    header = df.sparkSession.range(0, 1, 1, 1).select(F.lit(names).alias("linha"))
     json_rows(df).write.mode(mode).text(f"{path.rstrip('/')}/data")
     header.write.mode(mode).text(f"{path.rstrip('/')}/columns")
 
