@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boletim.llm import boosted_rules, compression_toxicity, factorisation
+from boletim.llm import boosted_rules, chunk_reuse, compression_toxicity, factorisation, ranked_varint
 from boletim.llm.common import ship, table
 
 
@@ -24,6 +24,15 @@ def op3_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ranked_varint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = ranked_varint.round_trip(table(spark, sf_dir, "documents"))
+    return tokens.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     detector = compression_toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -41,6 +50,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for build in (
         op2_boosted_quality_rules,
         op3_factorisation_quality,
+        op5_ranked_varint_ids,
+        op6_chunk_reuse_bpe,
         op9_compression_toxicity,
     )
 }
