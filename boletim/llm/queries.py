@@ -5,8 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from boletim.llm import boosted_rules, chunk_reuse, compression_toxicity, factorisation, ranked_varint
+from pyspark.sql import functions as F
+
+from boletim.llm import (
+    boosted_rules,
+    chunk_reuse,
+    compression_toxicity,
+    factorisation,
+    kd_shards,
+    pfair_mix,
+    ranked_varint,
+)
 from boletim.llm.common import ship, table
 
 
@@ -24,6 +33,10 @@ def op3_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.schedule(table(spark, sf_dir, "documents"))
+
+
 def op5_ranked_varint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ranked_varint.round_trip(table(spark, sf_dir, "documents"))
     return tokens.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -33,6 +46,14 @@ def op6_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_reuse.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = kd_shards.kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return kd_shards.slots(sharded).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     detector = compression_toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -50,10 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for build in (
         op2_boosted_quality_rules,
         op3_factorisation_quality,
+        op4_pfair_mix,
         op5_ranked_varint_ids,
         op6_chunk_reuse_bpe,
+        op7_kd_shards,
         op9_compression_toxicity,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_pfair_mix": pfair_mix.ORACLE_SQL}
