@@ -15,6 +15,7 @@ from boletim.llm import (
     kd_shards,
     pfair_mix,
     ranked_varint,
+    setsketch,
 )
 from boletim.llm.common import ship, table
 
@@ -54,6 +55,10 @@ def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     detector = compression_toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_ranked_varint_ids,
         op6_chunk_reuse_bpe,
         op7_kd_shards,
+        op8_setsketch_dedup,
         op9_compression_toxicity,
     )
 }
