@@ -108,3 +108,25 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(archive))
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def runs(batches, keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list]]]:
+    """Rows of equal keys that follow each other, as a list for each column; the input is sorted by the keys."""
+    key, held = None, {}
+    for batch in batches:
+        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        marks = list(zip(*[columns[k] for k in keys], strict=True))
+        at = 0
+        while at < len(marks):
+            end = at + 1
+            while end < len(marks) and marks[end] == marks[at]:
+                end += 1
+            if marks[at] != key:
+                if held:
+                    yield key, held
+                key, held = marks[at], {name: [] for name in columns}
+            for name, values in columns.items():
+                held[name] += values[at:end]
+            at = end
+    if held:
+        yield key, held

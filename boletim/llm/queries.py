@@ -13,6 +13,7 @@ from boletim.llm import (
     compression_toxicity,
     factorisation,
     kd_shards,
+    nn_descent,
     pfair_mix,
     ranked_varint,
     setsketch,
@@ -67,6 +68,10 @@ def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: build(ship(spark), sf_dir)
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_kd_shards,
         op8_setsketch_dedup,
         op9_compression_toxicity,
+        op10_nn_descent_dedup,
     )
 }
 
