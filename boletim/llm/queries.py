@@ -17,10 +17,15 @@ from boletim.llm import (
     pfair_mix,
     ranked_varint,
     setsketch,
+    templates,
 )
 from boletim.llm.common import ship, table
 
 
+def op1_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_boosted_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     trees = boosted_rules.fit_rules(documents, table(spark, sf_dir, "labels"))
@@ -79,6 +84,7 @@ def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     build.__name__: _query(build)
     for build in (
+        op1_template_extraction,
         op2_boosted_quality_rules,
         op3_factorisation_quality,
         op4_pfair_mix,
