@@ -27,20 +27,23 @@ from pyspark.sql import functions as F
 from boletim.llm.common import kept_rows, learning_rows, remainder, steps
 
 #: At most so many labelled documents are used to train and calibrate.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Words in a window, and bytes of each trained dictionary.
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 4_096
 TOXIC_BYTES = 4_096
-#: Bytes in a run that may set toxic text apart; number and share of toxic documents that must hold it, and the
-#: share of toxic text among its documents if both kinds were equally common.
-RUN = 5
+#: Bytes in a run that may set toxic text apart, beside whole words; least toxic documents that must hold it, the
+#: chance that so many documents all happen to be toxic, and the share of toxic text among the run's documents if both
+#: kinds were equally common.
+RUNS = (5, 8)
 LEAST_TOXIC = 3
-LEAST_TOXIC_SHARE = 0.003
+CHANCE = 1e-4
 LEAST_SHARE = 0.97
 #: A window that the toxic dictionary shortens by so many bytes is looked at word by word, behind so much context.
 LOOK_CLOSER = 2
 CONTEXT = 16
+#: Between these the best word of a text counts; beyond them it says no more.
+FLOOR, CEILING = 0, 6
 #: Share of the looked-at words of ordinary documents that the threshold leaves below.
 CALM_SHARE = 0.99
 
@@ -92,30 +95,53 @@ def _filler(size: int) -> bytes:
     return bytes(1 + (i * 7 + i // 5) % 8 for i in range(size))
 
 
-def _runs(text: bytes) -> set[bytes]:
-    joined = b" " + b" ".join(text.lower().split()) + b" "
-    return {joined[i : i + RUN] for i in range(len(joined) - RUN + 1)}
+def _runs(word: bytes) -> list[tuple[int, bytes]]:
+    """Runs of a word between spaces, with their places: those of ``RUNS`` bytes and the whole word."""
+    piece = b" " + word[:48] + b" "
+    found = [(i, piece[i : i + n]) for n in RUNS for i in range(len(piece) - n + 1)]
+    if len(piece) not in RUNS:
+        found.append((0, piece))
+    return found
 
 
 def telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """What runs found mostly in toxic documents cover of each word, the spaces beside it included."""
+    """What runs found mostly in toxic documents cover of each word, the spaces beside it included.
+
+    A run must follow several different words, or copies of one document would make all their runs telling.
+    """
+    cut = {word: _runs(word) for text in toxic for word in set(text.lower().split())}
     seen: Counter[bytes] = Counter()
     for text in toxic:
-        seen.update(_runs(text))
-    least = max(LEAST_TOXIC, LEAST_TOXIC_SHARE * len(toxic))
+        seen.update({run for word in set(text.lower().split()) for _, run in cut[word]})
+    share = len(toxic) / max(len(toxic) + len(ordinary), 1)
+    least = max(LEAST_TOXIC, np.log(CHANCE) / np.log(min(max(share, 1e-6), 0.5)))
     common = {run for run, n in seen.items() if n >= least}
     other: Counter[bytes] = Counter()
+    known: dict[bytes, list[bytes]] = {}
     for text in ordinary:
-        other.update(_runs(text) & common)
+        held = set()
+        for word in set(text.lower().split()):
+            if word not in known:
+                known[word] = [run for _, run in _runs(word) if run in common]
+            held.update(known[word])
+        other.update(held)
     weight = len(ordinary) / max(len(toxic), 1)
     telling = {r for r in common if seen[r] * weight >= LEAST_SHARE / (1 - LEAST_SHARE) * other[r]}
+    before: dict[bytes, set[bytes]] = {run: set() for run in telling}
+    held_by = {word: [hit for hit in found if hit[1] in telling] for word, found in cut.items()}
+    for text in toxic:
+        last = b""
+        for word in text.lower().split():
+            for _, run in held_by[word]:
+                before[run].add(last)
+            last = word
     out = []
     for text in toxic:
         for word in text.lower().split():
-            piece = b" " + word[:48] + b" "
-            hits = [i for i in range(len(piece) - RUN + 1) if piece[i : i + RUN] in telling]
-            if hits:
-                out.append(piece[hits[0] : hits[-1] + RUN])
+            spans = [(i, i + len(run)) for i, run in held_by[word] if len(before[run]) >= least]
+            if spans:
+                piece = b" " + word[:48] + b" "
+                out.append(piece[min(a for a, _ in spans) : max(b for _, b in spans)])
     return out
 
 
@@ -134,12 +160,14 @@ class Detector:
         return _compressor(plain), _compressor(toxic), self.ordinary[-CONTEXT:]
 
     def distances(self, pair, texts: list[bytes]) -> list[np.ndarray]:
-        """Bytes saved by the toxic dictionary: for each window that it compresses better, for each of its words.
+        """Bytes saved by the toxic dictionary less the bytes it still needs, for each word of the windows that it
+        compresses better; a word that it holds whole saves more than it costs.
 
         A word is compressed between bytes that both dictionaries hold, as a few bytes alone don't compress and
         the library looks for no match that starts in the last bytes of its input.
         """
         plain, toxic, context = pair[0].compress, pair[1].compress, pair[2]
+        bare = len(toxic(context + b" " + context))
         out = []
         for text in texts:
             found = []
@@ -148,7 +176,8 @@ class Detector:
                 if len(plain(window)) - len(toxic(window)) >= LOOK_CLOSER:
                     for word in window[: -len(context) or None].split():
                         piece = context + b" " + word + b" " + context
-                        found.append(len(plain(piece)) - len(toxic(piece)))
+                        cost = len(toxic(piece))
+                        found.append(len(plain(piece)) - cost - (cost - bare))
             out.append(np.array(found, np.int32))
         return out
 
@@ -157,7 +186,7 @@ class Detector:
         rows = []
         for d in distances:
             beyond = int((d > self.threshold).sum())
-            rows.append((float(d.max(initial=0)), np.log1p(beyond), float(beyond > 0)))
+            rows.append((float(min(d.max(initial=FLOOR), CEILING)), np.log1p(beyond), float(beyond > 0)))
         return np.array(rows).reshape(len(rows), 3)
 
     def scores(self, distances: list[np.ndarray]) -> np.ndarray:
