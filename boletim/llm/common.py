@@ -130,3 +130,11 @@ def runs(batches, keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[str, list
             at = end
     if held:
         yield key, held
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores behind it as it takes to differ from the columns of ``df``."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boletim.llm.common import written
+from boletim.llm.common import fresh, written
 
 #: Parts of a round, power of the sizes that the default weights follow, rows in a block.
 PARTS = 1000
@@ -157,26 +157,25 @@ def schedule(documents: DataFrame, weights: DataFrame | None = None, block_rows:
 def mixed(documents: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All documents with all their columns, range-partitioned and sorted by their position in the mix.
 
-    Rows of equal id and source are told apart by their number, so each is placed once.
+    Rows of equal id and source are told apart by a number, so each is placed once.
     """
+    id_, source, position, twin, own_twin = (
+        fresh(documents, name) for name in ("mix_id", "mix_source", "mix_position", "mix_twin", "mix_own_twin")
+    )
     order = schedule(documents, weights, block_rows)
-    twin = Window.partitionBy("doc_id", "source")
-    order = order.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "position",
-        F.row_number().over(twin.orderBy("position")).alias("_twin"),
-    )
-    own = documents.withColumn("_twin", F.row_number().over(twin.orderBy(F.lit(0))))
-    joined = own.alias("d").join(
-        order.alias("o"),
-        F.col("d.doc_id").eqNullSafe(F.col("o._id"))
-        & F.col("d.source").eqNullSafe(F.col("o._src"))
-        & (F.col("d._twin") == F.col("o._twin")),
+    order = written(
+        order.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("position").alias(position)), "order"
     )
-    wanted = [F.col(f"d.`{name}`") for name in documents.columns]
+    rows = documents
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
+    if order.groupBy(id_, source).count().filter("count > 1").limit(1).count():
+        order = order.withColumn(twin, F.row_number().over(Window.partitionBy(id_, source).orderBy(position)))
+        rows = rows.withColumn(own_twin, F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.lit(0))))
+        same = same & (F.col(twin) == F.col(own_twin))
     return (
-        joined.select(*wanted, F.col("o.position").alias("_position"))
-        .repartitionByRange("_position")
-        .sortWithinPartitions("_position")
+        rows.join(order, same)
+        .repartitionByRange(position)
+        .sortWithinPartitions(position)
         .select(*[f"`{name}`" for name in documents.columns])
     )
 

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boletim.llm.common import steps, written
+from boletim.llm.common import fresh, steps, written
 from boletim.llm.components import components
 from boletim.llm.words import PLACES, mix, split_words, window_hashes
 
@@ -294,9 +294,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: a single row for each kept id, and every row without id."""
-    verdicts = near_duplicates(documents).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    own = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-    kept = documents.join(verdicts, documents["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    marked = kept.withColumn("_place", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(own)))
-    return marked.filter("_place = 1").select(*documents.columns)
+    """One document of each group, with all its columns: one row for each kept id, and every row without id.
+
+    Of several rows with a kept id any one stays.
+    """
+    kept = near_duplicates(documents).filter("kept AND doc_id IS NOT NULL")
+    own = fresh(documents, "kept_id")
+    kept = written(kept.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("rows")), "kept")
+    rows = documents.join(kept.select(own), F.col("doc_id").cast("long") == F.col(own), "left_semi")
+    if kept.filter("rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(documents.filter("doc_id IS NULL")).select(*[f"`{name}`" for name in documents.columns])
