@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def mean(units: Column, count: Column, scale: int) -> Column:
     ``units`` is the sum in whole units of 10^-``scale``. Whole numbers are divided
     after half the divisor is added, so no second rounding can occur.
     """
-    divisor = F.nullif(count, F.lit(0)) * 10 ** (scale - 1)
+    divisor = F.nullif(count, F.lit(0)) * F.lit(Decimal(10 ** (scale - 1)))
     tenths = F.call_function("div", F.abs(units) * 2 + divisor, divisor * 2)
     signed = F.when(units < 0, -tenths).otherwise(tenths)
     return (signed.cast("decimal(20,0)") / 10).cast("decimal(10,1)")

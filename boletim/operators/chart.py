@@ -11,31 +11,46 @@ from boletim.operators.filters import checked
 
 
 def chart_series(
-    df: DataFrame, label: str, series: str, value: str, series_values: Sequence[str]
+    df: DataFrame,
+    label: str,
+    series: str,
+    value: str,
+    series_values: Sequence[str],
+    other: str | None = None,
 ) -> DataFrame:
     """One row per label and one column per series, holding the summed values.
 
-    The series are named by the caller, which spares a job to find them. A label
-    without rows in a series has a bar of zero.
+    The series are named by the caller, which spares a job to find them; values of any other series,
+    or of none, are summed under the name ``other`` if one is given. A label without rows in a series
+    has a bar of zero.
     """
     for name in (label, series, value):
         checked(df, name)
-    wide = df.groupBy(label).pivot(series, list(series_values)).agg(F.sum(f"`{value}`"))
-    return wide.fillna(0, subset=list(series_values))
+    names = list(series_values)
+    if other is not None:
+        known = F.col(f"`{series}`").isin(*names)
+        df = df.withColumn(series, F.when(known, F.col(f"`{series}`")).otherwise(F.lit(other)))
+        names.append(other)
+    wide = df.groupBy(label).pivot(series, names).agg(F.sum(f"`{value}`"))
+    return wide.fillna(0, subset=names)
 
 
-def chart_payload(wide: DataFrame, max_labels: int = 1000) -> dict:
-    """``{labels, datasets: [{label, data}]}`` for a page.
+def chart_payload(page: DataFrame) -> dict:
+    """``{labels, datasets: [{label, data}]}`` of all given rows, which come to this process.
 
-    A chart with more than ``max_labels`` bars per series is refused, not cut.
+    Meant for a page of bars; ``write_chart`` writes a chart of any size.
     """
-    label, *series = wide.columns
-    rows = wide.orderBy(F.asc_nulls_last(f"`{label}`")).limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} labels; group or filter the report first")
+    label, *series = page.columns
+    rows = page.orderBy(F.asc_nulls_last(f"`{label}`")).collect()
     return {
         "labels": [row[0] for row in rows],
         "datasets": [
             {"label": name, "data": [row[i + 1] for row in rows]} for i, name in enumerate(series)
         ],
     }
+
+
+def write_chart(wide: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the bars in the order of their labels as JSON lines, in parallel, an object per label."""
+    label = wide.columns[0]
+    wide.orderBy(F.asc_nulls_last(f"`{label}`")).write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +78,10 @@ def graded_attempts(t: Tables, chosen: DataFrame, students: DataFrame) -> DataFr
     their last digit, summed and counted once per attempt. Attempts and grades
     are stacked and shuffled once by student, instead of being joined.
     """
-    units = (F.col("average") * 10 ** grade_scale(t)).cast("bigint")
+    scale = grade_scale(t)
+    narrow = t["quiz_grades"].schema["average"].dataType.precision <= 9
+    # A whole number either way, so no type loses a digit; short ones sum faster as bigint.
+    units = (F.col("average") * F.lit(Decimal(10**scale))).cast("bigint" if narrow else "decimal(38,0)")
     tried = (
         t["quiz_user_progresses"]
         .filter("finished")

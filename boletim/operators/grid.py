@@ -6,27 +6,28 @@ in one pass without running the report again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boletim.operators.filters import all_of, checked
 from boletim.operators.order import order_key
-from boletim.session import ensure_checkpoint_dir
-
-# Rows a top-k may hold in memory at once; later pages are found by position.
-SHALLOW_ROWS = 100_000
-
 
 def _text(df: DataFrame, name: str) -> Column:
     return checked(df, name).cast("string")
 
 
+def phrases(text: str) -> list[str]:
+    """The words of a search text; what stands between double quotes is one of them."""
+    return [quoted or word for quoted, word in re.findall(r'"([^"]+)"|([^\s"]+)', text)]
+
+
 def contains_words(df: DataFrame, text: str) -> Column:
-    """Every space-separated word occurs somewhere in the row, in any case."""
+    """Every word or quoted phrase occurs somewhere in the row, in any case."""
     row = F.lower(F.concat_ws("  ", *[_text(df, name) for name in df.columns]))
-    return all_of([row.contains(F.lower(F.lit(word))) for word in text.split()])
+    return all_of([row.contains(F.lower(F.lit(word))) for word in phrases(text)])
 
 
 def search(df: DataFrame, text: str) -> DataFrame:
@@ -39,10 +40,10 @@ def first_column_search(df: DataFrame, text: str) -> DataFrame:
     return df.filter(cell.contains(F.upper(F.lit(text))))
 
 
-def selected(df: DataFrame, choices: Mapping[str, Sequence[str]], match: str = "exact") -> Column:
+def selected(df: DataFrame, choices: Mapping[str, Sequence[str]], match: str = "contains") -> Column:
     """Any of the values within a column, all columns together; no values means no limit.
 
-    ``match="contains"`` accepts a cell that contains a value, in any case.
+    A cell matches if it contains a value, in any case; with ``match="exact"`` only if it equals one.
     """
     if match not in ("exact", "contains"):
         raise ValueError(f"match is 'exact' or 'contains', not {match!r}")
@@ -62,7 +63,7 @@ def selected(df: DataFrame, choices: Mapping[str, Sequence[str]], match: str = "
 
 
 def multiselect(
-    df: DataFrame, choices: Mapping[str, Sequence[str]], match: str = "exact"
+    df: DataFrame, choices: Mapping[str, Sequence[str]], match: str = "contains"
 ) -> DataFrame:
     return df.filter(selected(df, choices, match))
 
@@ -76,21 +77,32 @@ def facets(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(F.inline(cells)).distinct().orderBy("coluna", F.asc_nulls_last("valor"))
 
 
+Keys = str | Sequence[tuple[str, bool]]
+
+
 def total_order(
-    df: DataFrame, column: str | None = None, descending: bool = False, collation: str | None = None
+    df: DataFrame, column: Keys | None = None, descending: bool = False, collation: str | None = None
 ) -> list[Column]:
-    """The chosen column (the first by default), then every other column to break ties."""
-    first = df.columns[0] if column is None else column
-    checked(df, first)
-    keys = [order_key(df, first, descending, collation)]
+    """The chosen columns (the first one by default), then every other column to break ties.
+
+    ``column`` is a name, or several names each with whether it descends.
+    """
+    if column is None:
+        column = df.columns[0]
+    chosen = [(column, descending)] if isinstance(column, str) else list(column)
+    keys = []
+    for name, down in chosen:
+        checked(df, name)
+        keys.append(order_key(df, name, down, collation))
     if collation:
         # Texts a collation holds equal still need one fixed order.
-        keys.append(order_key(df, first))
-    return keys + [order_key(df, name) for name in df.columns if name != first]
+        keys += [order_key(df, name) for name, _ in chosen]
+    names = {name for name, _ in chosen}
+    return keys + [order_key(df, name) for name in df.columns if name not in names]
 
 
 def sort(
-    df: DataFrame, column: str | None = None, descending: bool = False, collation: str | None = None
+    df: DataFrame, column: Keys | None = None, descending: bool = False, collation: str | None = None
 ) -> DataFrame:
     return df.orderBy(*total_order(df, column, descending, collation))
 
@@ -100,47 +112,48 @@ def preview(df: DataFrame, rows: int = 5) -> DataFrame:
     return df.limit(rows)
 
 
-def numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """All rows with their position in the order, as ``position`` from 0.
+def store(
+    df: DataFrame,
+    path: str,
+    column: Keys | None = None,
+    descending: bool = False,
+    collation: str | None = None,
+    mode: str = "errorifexists",
+) -> DataFrame:
+    """Compute a report once, write it sorted to ``path`` and return it with its positions.
+
+    The path is the caller's, where every executor reaches it. Search, facets, counts and pages of
+    the returned rows then read the files and never run the report again.
+    """
+    ordered = sort(df, column, descending, collation)
+    # The id holds the range in its upper bits and the row within it in the lower 33.
+    ordered.withColumn("_row", F.monotonically_increasing_id()).write.mode(mode).parquet(path)
+    return stored(df.sparkSession, path)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """A stored report with the place of each row in its order, as ``position`` from 0.
 
-    The rows are range-sorted and checkpointed once; positions come from one
-    count per partition, so no task sees more than its own range.
+    Positions come from one count per written range, so no task sees more than its own range.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    # The id holds the partition in its upper bits and the row within it in the lower 33.
-    ranges = (
-        df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()).checkpoint(eager=True)
-    )
+    rows = spark.read.parquet(path)
     part = F.shiftrightunsigned("_row", 33)
-    row = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ranges.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per range: the window and the broadcast are as small as the number of partitions.
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    # One row per range: the window is as small as the number of partitions written.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
-    )
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     return (
-        ranges.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn("position", F.col("_start") + row)
+        rows.withColumn("_part", part)
+        .join(starts, "_part")
+        .withColumn("position", F.col("_start") + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_part", "_start", "_row")
     )
 
 
-def page(
-    df: DataFrame,
-    number: int = 0,
-    size: int = 10,
-    column: str | None = None,
-    descending: bool = False,
-    collation: str | None = None,
-) -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows in a total order."""
-    order = total_order(df, column, descending, collation)
+def page(rows: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
+    """Page ``number`` (from 0) of ``size`` rows of a stored report, the first one like any other."""
     start = number * size
-    if start + size <= SHALLOW_ROWS:
-        return df.orderBy(*order).offset(start).limit(size)
-    wanted = numbered(df, order).filter(F.col("position").between(start, start + size - 1))
+    wanted = rows.filter(F.col("position").between(start, start + size - 1))
     return wanted.orderBy("position").drop("position")
 
 

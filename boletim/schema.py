@@ -40,18 +40,27 @@ SCHEMAS: dict[str, T.StructType] = {
     "learning_module_quizzes": _table(learning_module_id=_LONG, quiz_id=_LONG),
 }
 
-# The three tables that grow with student activity; sources split their reads.
+# The three tables that grow with student activity, and all that grow with students, schools or
+# exams; sources split their reads.
 FACTS = ("quiz_user_progresses", "quiz_grades", "institution_enrollments")
+GROWING = (
+    *FACTS,
+    "users",
+    "quizzes",
+    "institution_classrooms",
+    "institutions_quizzes",
+    "learning_module_quizzes",
+)
 
 
 def _grade_type(actual: T.DataType) -> T.DecimalType:
-    """Decimal type of the grades: one to six digits after the point.
+    """Decimal type of the grades: the source's own, with one digit after the point at least.
 
-    Sums are kept in whole units of the last digit, so they are exact and fast.
-    Floating-point grades are read to six digits.
+    A double has its shortest decimal form, of which 18 digits after the point are kept.
     """
-    scale = min(max(actual.scale, 1), 6) if isinstance(actual, T.DecimalType) else 6
-    return T.DecimalType(15, scale)
+    if isinstance(actual, T.DecimalType):
+        return actual if actual.scale else T.DecimalType(min(actual.precision + 1, 38), 1)
+    return T.DecimalType(21, 1) if isinstance(actual, T.IntegralType) else T.DecimalType(38, 18)
 
 
 def _compatible(actual: T.DataType, wanted: T.DataType) -> bool:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Adaptive execution does three jobs here: it turns a shuffled join into a
@@ -57,17 +54,3 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix=f"boletim-{os.getpid()}-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -19,19 +19,15 @@ CSV_OPTIONS = {
 }
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists") -> None:
-    """Write the rows as CSV, in parallel unless one file is asked for.
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the rows as CSV parts, in parallel, which joined as bytes by name make up one file.
 
-    Each file carries its own mark and header. A line feed inside a cell comes
-    out as carriage return and line feed, like every other line end.
+    Mark and header stand in the first part only. A line feed inside a cell stays as it is.
     """
-    first, *rest = df.columns
-    marked = df.toDF(BYTE_ORDER_MARK + first, *rest)
-    if single_file:
-        marked = marked.coalesce(1)
-    marked.write.mode(mode).csv(
-        path, header=True, lineSep="\r\n", encoding="UTF-8", **CSV_OPTIONS
-    )
+    names = df.sparkSession.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns))))
+    header = csv_rows(names.coalesce(1)).select(F.concat(F.lit(BYTE_ORDER_MARK), "linha").alias("linha"))
+    # A union keeps the order of its parts, so the header is the first part.
+    header.union(csv_rows(df)).write.mode(mode).option("lineSep", "\r\n").text(path)
 
 
 def csv_rows(df: DataFrame) -> DataFrame:

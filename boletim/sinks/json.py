@@ -32,12 +32,10 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     header.write.mode(mode).text(f"{path.rstrip('/')}/columns")
 
 
-def json_payload(df: DataFrame, max_rows: int = 10_000) -> dict:
-    """``{"columns": [...], "data": [[...], ...]}`` for a page of rows.
+def json_payload(page: DataFrame) -> dict:
+    """``{"columns": [...], "data": [[...], ...]}`` of all given rows, which come to this process.
 
-    More than ``max_rows`` rows are refused, not cut: write those with ``write_json``.
+    Meant for a page (``grid.page``); ``write_json`` writes a result of any size.
     """
-    lines = json_rows(df).limit(max_rows + 1).collect()
-    if len(lines) > max_rows:
-        raise ValueError(f"more than {max_rows} rows; take a page or use write_json")
-    return {"columns": df.columns, "data": [json.loads(line.linha) for line in lines]}
+    lines = json_rows(page).collect()
+    return {"columns": page.columns, "data": [json.loads(line.linha) for line in lines]}

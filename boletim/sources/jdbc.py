@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boletim.schema import FACTS, LazyTables
+from boletim.schema import GROWING, LazyTables
 
 
 @dataclass(frozen=True)
@@ -55,10 +55,10 @@ def read_jdbc(
     predicates: Mapping[str, Sequence[str]] | None = None,
     schema: str | None = None,
 ) -> LazyTables:
-    """Read the report tables asked for. Each fact table must have a split or predicates."""
+    """Read the report tables asked for. Each table that grows must have a split or predicates."""
     splits = splits or {}
     predicates = predicates or {}
-    whole = [name for name in FACTS if name not in splits and name not in predicates]
+    whole = [name for name in GROWING if name not in splits and name not in predicates]
     if whole:
         raise ValueError(f"give a split or predicates for {', '.join(whole)}")
 

@@ -1,9 +1,10 @@
 """The report tables derived from a trade data set (region ... lineitem).
 
-Suppliers stand for schools, customers for students, parts for exams, urgent
-orders for enrolments and order lines for exam attempts. The odd divisors make
-every case the reports must tell apart: excluded names, childless schools,
-enrolments whose school differs from their classroom's, classes without exams.
+Suppliers stand for schools, customers for students, parts for exams, orders for
+enrolments and order lines for exam attempts; every row of these becomes one. The
+odd divisors make every case the reports must tell apart: excluded names, schools
+whose courses belong to another one, enrolments whose school differs from their
+classroom's, classes without exams.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ _FILES = {
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
     "customer": "c_custkey bigint",
     "part": "p_partkey bigint, p_brand string",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
-    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint,"
     " l_quantity double, l_linestatus string",
 }
 
@@ -51,8 +52,9 @@ def _two_children(parent: DataFrame, parent_column: str) -> DataFrame:
 class _School:
     """One method per report table, over the files of one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, grade: str) -> None:
         self._spark = spark
+        self._grade = grade
         self._folder = folder.rstrip("/")
 
     def _file(self, name: str) -> DataFrame:
@@ -86,15 +88,16 @@ class _School:
         )
 
     def institution_courses(self) -> DataFrame:
-        colleges = self._file("supplier").selectExpr("s_suppkey AS id").filter("id % 7 <> 3")
+        colleges = self._file("supplier").selectExpr("s_suppkey AS id")
         return _two_children(colleges, "institution_college_id").selectExpr(
-            "id", "concat('Curso ', k + 1) AS name", "institution_college_id"
+            "id",
+            "concat('Curso ', k + 1) AS name",
+            "institution_college_id - int(institution_college_id % 7 = 3) AS institution_college_id",
         )
 
     def institution_levels(self) -> DataFrame:
-        courses = self.institution_courses().filter("id % 11 <> 5")
-        return _two_children(courses, "course_id").selectExpr(
-            "id", "concat(k + 1, 'º ano') AS name", "course_id"
+        return _two_children(self.institution_courses(), "course_id").selectExpr(
+            "id", "concat(k + 1, 'º ano') AS name", "course_id - int(course_id % 11 = 5) AS course_id"
         )
 
     def institution_classrooms(self) -> DataFrame:
@@ -111,7 +114,6 @@ class _School:
         schools = supplier.agg(F.count(F.lit(1))).scalar()
         placed = (
             self._file("orders")
-            .filter("o_orderpriority = '1-URGENT'")
             .select(
                 customer.alias("user_id"),
                 ((customer % schools) * 8 + order % 8).alias("classroom_id"),
@@ -137,9 +139,11 @@ class _School:
 
     def quiz_user_progresses(self) -> DataFrame:
         return (
-            self._lines()
-            .filter("user_id % 10 <> 4")
-            .selectExpr("user_id", "l_partkey AS quiz_id", "l_linestatus = 'F' AS finished")
+            self._lines().selectExpr(
+                "user_id",
+                "l_partkey AS quiz_id",
+                "l_linestatus = 'F' AND user_id % 10 <> 4 AS finished",
+            )
         )
 
     def quiz_grades(self) -> DataFrame:
@@ -147,7 +151,7 @@ class _School:
             self._lines()
             .groupBy("user_id", "l_partkey")
             .agg(F.max("l_quantity").alias("best"))
-            .selectExpr("user_id", "l_partkey AS quiz_id", "CAST(best AS DECIMAL(5, 1)) AS average")
+            .selectExpr("user_id", "l_partkey AS quiz_id", f"{self._grade} AS average")
         )
 
     def institutions_quizzes(self) -> DataFrame:
@@ -156,7 +160,6 @@ class _School:
         )
         return (
             self._file("lineitem")
-            .filter("l_linenumber = 1")
             .join(supplier, "l_suppkey")
             .selectExpr("institution_id", "l_partkey AS quiz_id")
             .distinct()
@@ -169,15 +172,20 @@ class _School:
 
     def learning_module_quizzes(self) -> DataFrame:
         return (
-            self._file("part")
-            .filter("p_partkey % 5 = 0")
-            .selectExpr("p_partkey % 7 AS learning_module_id", "p_partkey AS quiz_id")
+            self._file("part").selectExpr(
+                "p_partkey % 35 AS learning_module_id", "p_partkey AS quiz_id"
+            )
         )
 
 
-def school_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
-    """The sixteen report tables over the Parquet files in ``sf_dir``."""
-    school = _School(spark, sf_dir)
+def school_tables(
+    spark: SparkSession, sf_dir: str, grade: str = "CAST(best AS DECIMAL(5, 1))"
+) -> LazyTables:
+    """The sixteen report tables over the Parquet files in ``sf_dir``.
+
+    ``grade`` is the grade as an expression on ``best``, the largest quantity of a student and part.
+    """
+    school = _School(spark, sf_dir, grade)
 
     def build(name: str) -> DataFrame:
         make: Callable[[], DataFrame] = getattr(school, name)

@@ -7,6 +7,8 @@ binary floating point.
 
 from __future__ import annotations
 
+from boletim.functions.fixed_values import EXCLUDED_SCHOOLS
+
 _TABLES = {
     "holdings": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region",
     "cities": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name FROM region",
@@ -27,11 +29,13 @@ _TABLES = {
                CAST(s_nationkey AS BIGINT) AS region_id
         FROM supplier""",
     "institution_courses": """
-        SELECT id * 2 + k AS id, 'Curso ' || CAST(k + 1 AS VARCHAR) AS name, id AS institution_college_id
-        FROM (SELECT id, unnest([0, 1]) AS k FROM institution_colleges WHERE id % 7 <> 3)""",
+        SELECT id * 2 + k AS id, 'Curso ' || CAST(k + 1 AS VARCHAR) AS name,
+               CASE WHEN id % 7 = 3 THEN id - 1 ELSE id END AS institution_college_id
+        FROM (SELECT id, unnest([0, 1]) AS k FROM institution_colleges)""",
     "institution_levels": """
-        SELECT id * 2 + k AS id, CAST(k + 1 AS VARCHAR) || 'º ano' AS name, id AS course_id
-        FROM (SELECT id, unnest([0, 1]) AS k FROM institution_courses WHERE id % 11 <> 5)""",
+        SELECT id * 2 + k AS id, CAST(k + 1 AS VARCHAR) || 'º ano' AS name,
+               CASE WHEN id % 11 = 5 THEN id - 1 ELSE id END AS course_id
+        FROM (SELECT id, unnest([0, 1]) AS k FROM institution_courses)""",
     "institution_classrooms": """
         SELECT id * 2 + k AS id, CASE WHEN k = 0 THEN 'Turma A' ELSE 'Turma B' END AS name, id AS level_id
         FROM (SELECT id, unnest([0, 1]) AS k FROM institution_levels)""",
@@ -43,7 +47,7 @@ _TABLES = {
                      (o_custkey % (SELECT count(*) FROM supplier)) * 8 + o_orderkey % 8 AS classroom_id,
                      (o_custkey + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END)
                          % (SELECT count(*) FROM supplier) AS college_id
-              FROM orders WHERE o_orderpriority = '1-URGENT') placed
+              FROM orders) placed
         JOIN supplier ON s_suppkey = college_id
         JOIN nation ON n_nationkey = s_nationkey""",
     "quizzes": """
@@ -52,19 +56,19 @@ _TABLES = {
                            ' Minissim', ' minisim', ' Geral'][p_partkey % 9 + 1] AS name
         FROM part""",
     "quiz_user_progresses": """
-        SELECT o_custkey AS user_id, l_partkey AS quiz_id, l_linestatus = 'F' AS finished
-        FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 <> 4""",
+        SELECT o_custkey AS user_id, l_partkey AS quiz_id, l_linestatus = 'F' AND o_custkey % 10 <> 4 AS finished
+        FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "quiz_grades": """
         SELECT o_custkey AS user_id, l_partkey AS quiz_id, CAST(max(l_quantity) AS DECIMAL(5, 1)) AS average
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""",
     "institutions_quizzes": """
         SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS institution_id, l_partkey AS quiz_id
-        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber = 1""",
+        FROM lineitem JOIN supplier ON s_suppkey = l_suppkey""",
     "institutions_learning_modules": """
         SELECT CAST(n_nationkey AS BIGINT) AS institution_id, CAST(n_nationkey % 7 AS BIGINT) AS learning_module_id
         FROM nation""",
     "learning_module_quizzes": """
-        SELECT p_partkey % 7 AS learning_module_id, p_partkey AS quiz_id FROM part WHERE p_partkey % 5 = 0""",
+        SELECT p_partkey % 35 AS learning_module_id, p_partkey AS quiz_id FROM part""",
 }
 
 # Shared by the reports: a row per complete classroom chain, and per finished attempt of a known
@@ -88,7 +92,7 @@ _SHARED = {
 }
 
 _INSTITUTIONS = "(0, 2, 4, 6, 8, 10, 12, 14)"
-_EXCLUDED = "('wiquadro', 'teste', 'escola demonstração', 'escola1', 'escola2')"
+_EXCLUDED = "(" + ", ".join(f"'{name.lower()}'" for name in EXCLUDED_SCHOOLS) + ")"
 
 
 def _with(steps: dict[str, str], final: str) -> str:
@@ -107,6 +111,8 @@ _SUBJECT = """CASE WHEN contains(exam, 'LP') THEN 'Língua Portuguesa'
     WHEN contains(exam, 'MT') THEN 'Matemática' {rest} END"""
 _MINI = """WHEN contains(exam, 'Minissim') THEN 'Matemática'
     WHEN contains(exam, 'minisim') THEN 'Língua Portuguesa'"""
+_MINI_LISTING = """WHEN contains(exam, 'minisim') THEN 'Língua Portuguesa'
+    WHEN contains(exam, 'Minissim') THEN 'Matemática'"""
 
 
 def _classes(where: str) -> dict[str, str]:
@@ -125,17 +131,21 @@ def _classes(where: str) -> dict[str, str]:
     }
 
 
-def _progress() -> str:
+def _progress(final: str = "SELECT * FROM report") -> str:
     where = f"chain.institution_id IN {_INSTITUTIONS} AND college <> 'Wiquadro'"
     return _with(
-        _classes(where),
-        f"""SELECT college AS escola, classroom AS turma, {_SUBJECT.format(rest=_MINI)} AS disciplina,
-                   exam AS simulado_minisimulado, coalesce(finished, 0) AS "simulados_concluídos",
-                   enrolled AS matriculados_na_turma FROM classes""",
+        {
+            **_classes(where),
+            "report": f"""
+                SELECT college AS escola, classroom AS turma, {_SUBJECT.format(rest=_MINI)} AS disciplina,
+                       exam AS simulado_minisimulado, coalesce(finished, 0) AS "simulados_concluídos",
+                       enrolled AS matriculados_na_turma FROM classes""",
+        },
+        final,
     )
 
 
-_LISTING = f"""SELECT college AS escola, classroom AS turma, {_SUBJECT.format(rest=_MINI)} AS cursos,
+_LISTING = f"""SELECT college AS escola, classroom AS turma, {_SUBJECT.format(rest=_MINI_LISTING)} AS cursos,
     exam AS nome_simulado, coalesce(finished, 0) AS alunos_simulado, enrolled AS alunos_matriculados,
     {_percent("finished", "enrolled", 2)} AS taxa_participacao FROM classes"""
 
@@ -145,13 +155,15 @@ def _listing(final: str = "SELECT * FROM report") -> str:
     return _with({**_classes(where), "report": _LISTING}, final)
 
 
-def _totals(by_level: bool, final: str = "SELECT * FROM report") -> str:
+def _totals(by_level: bool, final: str = "SELECT * FROM report", digits: int = 1) -> str:
+    """``digits`` are those of the grades after the point."""
+    unit = 10**digits
     keys = "college, classroom" + (", level" if by_level else "")
     where = f"institution ILIKE '%2024%' AND lower(college) NOT IN {_EXCLUDED}"
     steps = {
         "done": f"""
             SELECT {keys}, exam, count(DISTINCT f.user_id) AS finished,
-                   CAST(sum(g.average * 10) AS BIGINT) AS tenths, count(g.average) AS grades
+                   sum(CAST(g.average * {unit} AS BIGINT)) AS units, count(g.average) AS grades
             FROM finished f JOIN quiz_grades g ON g.user_id = f.user_id AND g.quiz_id = f.quiz_id
             JOIN institution_enrollments m ON m.user_id = f.user_id
             JOIN chain ON chain.classroom_id = m.classroom_id
@@ -162,7 +174,8 @@ def _totals(by_level: bool, final: str = "SELECT * FROM report") -> str:
             WHERE {where} GROUP BY ALL""",
     }
     subject = _SUBJECT.format(rest="")
-    mean = "CAST((2 * tenths + grades) // (2 * grades) AS DOUBLE) / 10"
+    whole = f"({unit // 10} * grades)"
+    mean = f"CAST((2 * units + {whole}) // (2 * {whole}) AS DOUBLE) / 10"
     share = _percent("finished", "enrolled", 1)
     if by_level:
         columns = f"""'Tauá' AS municipio, college AS escola, classroom AS turma, level AS ano,
@@ -203,10 +216,11 @@ def _hierarchy() -> str:
     )
 
 
-def _exam_students() -> str:
+def _exam_students(final: str = "SELECT * FROM report") -> str:
     return _with(
-        {},
-        f"""SELECT CASE WHEN contains(exam, 'LP C1') THEN 'Língua Portuguesa - Curso 1'
+        {
+            "report": f"""
+            SELECT CASE WHEN contains(exam, 'LP C1') THEN 'Língua Portuguesa - Curso 1'
                         WHEN contains(exam, 'MT C1') THEN 'Matemática - Curso 1'
                         WHEN contains(exam, 'LP C2') THEN 'Língua Portuguesa - Curso 2'
                         WHEN contains(exam, 'MT C2') THEN 'Matemática - Curso 2'
@@ -218,7 +232,9 @@ def _exam_students() -> str:
             WHERE (contains(exam, 'LP') OR contains(exam, 'MT')) AND year = 2024 AND city_id = 2
               AND m.institution_id IN {_INSTITUTIONS}
               AND f.quiz_id IN (SELECT quiz_id FROM institutions_quizzes WHERE institution_id IN {_INSTITUTIONS})
-            GROUP BY ALL""",
+            GROUP BY ALL"""
+        },
+        final,
     )
 
 
@@ -269,25 +285,33 @@ _R3_COLUMNS = (
     "alunos_simulado",
     "alunos_matriculados",
 )
+_RATE = "printf('%.2f', taxa_participacao)"
+_R3_TEXTS = tuple(f"CAST({name} AS VARCHAR)" for name in _R3_COLUMNS) + (_RATE,)
 _R4_COLUMNS = ("Nome da Instituição", "Nome do College", "Quantidade de Alunos")
 
 
 def _facets() -> str:
     parts = [
-        f"SELECT DISTINCT '{name}' AS coluna, CAST({name} AS VARCHAR) AS valor FROM report"
-        for name in _R3_COLUMNS
+        f"SELECT DISTINCT '{name}' AS coluna, {text} AS valor FROM report"
+        for name, text in zip((*_R3_COLUMNS, "taxa_participacao"), _R3_TEXTS)
     ]
     return _listing(" UNION ALL ".join(parts))
 
 
-def _row_text(columns: tuple[str, ...]) -> str:
-    return "lower(concat_ws('  ', " + ", ".join(f"CAST({name} AS VARCHAR)" for name in columns) + "))"
+def _row_text(texts: tuple[str, ...]) -> str:
+    return "lower(concat_ws('  ', " + ", ".join(texts) + "))"
 
 
-def _page() -> str:
+def _page(number: int, size: int) -> str:
     order = ", ".join(f"{name} NULLS LAST" for name in ("escola DESC", *_R3_COLUMNS[1:]))
     order = f"{order}, taxa_participacao"
-    return _listing(f"SELECT * FROM report ORDER BY {order} LIMIT 25 OFFSET 50")
+    return _listing(f"SELECT * FROM report ORDER BY {order} LIMIT {size} OFFSET {number * size}")
+
+
+def _placed(*order: str) -> str:
+    """The report's rows with their place in an order, missing values last."""
+    keys = ", ".join(f"{key} NULLS LAST" for key in order)
+    return f"SELECT *, row_number() OVER (ORDER BY {keys}) - 1 AS position FROM report"
 
 
 def _preview() -> str:
@@ -301,18 +325,34 @@ def _chart() -> str:
                   CAST(sum(CASE WHEN cursos = 'Língua Portuguesa' THEN alunos_simulado ELSE 0 END) AS BIGINT)
                       AS "Língua Portuguesa",
                   CAST(sum(CASE WHEN cursos = 'Matemática' THEN alunos_simulado ELSE 0 END) AS BIGINT)
-                      AS "Matemática"
+                      AS "Matemática",
+                  CAST(sum(CASE WHEN cursos IN ('Língua Portuguesa', 'Matemática') THEN 0
+                                ELSE alunos_simulado END) AS BIGINT) AS "Sem disciplina"
            FROM report GROUP BY escola"""
     )
 
 
-def _csv() -> str:
-    def cell(name: str) -> str:
-        text = f"coalesce(CAST(\"{name}\" AS VARCHAR), '')"
+def _csv_line(texts: tuple[str, ...]) -> str:
+    def cell(text: str) -> str:
+        text = f"coalesce({text}, '')"
         quoted = f"""'"' || replace({text}, '"', '""') || '"'"""
         return f"""CASE WHEN regexp_matches({text}, '[;"\\r\\n]') THEN {quoted} ELSE {text} END"""
 
-    return _enrolment("SELECT " + " || ';' || ".join(cell(name) for name in _R4_COLUMNS) + " AS linha FROM report")
+    return "SELECT " + " || ';' || ".join(cell(text) for text in texts) + " AS linha FROM report"
+
+
+_R2_TEXTS = (
+    "municipio",
+    """'"' || escola || '"; ' || turma""",
+    "turma",
+    "ano",
+    "nome_do_simulado",
+    "disciplina",
+    "CAST(simulados_concluidos AS VARCHAR)",
+    "CAST(matriculados_na_turma AS VARCHAR)",
+    """printf('%.1f', "média_notas")""",
+    "printf('%.1f', taxa_participacao)",
+)
 
 
 def _json() -> str:
@@ -320,7 +360,9 @@ def _json() -> str:
         return f"coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"
 
     return _listing(
-        "SELECT '[' || " + " || ',' || ".join(cell(name) for name in _R3_COLUMNS) + " || ']' AS linha FROM report"
+        "SELECT '[' || "
+        + " || ',' || ".join([*[cell(name) for name in _R3_COLUMNS], cell(_RATE)])
+        + " || ']' AS linha FROM report"
     )
 
 
@@ -331,11 +373,16 @@ def texts(derived: bool = True) -> dict[str, str]:
     they are expected to exist under their own names.
     """
     tables = ",\n".join(f"{name} AS ({text})" for name, text in _TABLES.items()) + ",\n"
-    return {name: f"WITH {tables if derived else ''}{text}" for name, text in _reports().items()}
+    found = {name: f"WITH {tables if derived else ''}{text}" for name, text in _reports().items()}
+    if derived:
+        old, new = "CAST(max(l_quantity) AS DECIMAL(5, 1))", "CAST(max(l_quantity) AS DECIMAL(20, 7)) + 0.0499999"
+        fine = _totals(True, digits=7)
+        found["r2_exact_grades"] = f"WITH {tables.replace(old, new)}{fine}"
+    return found
 
 
 def _reports() -> dict[str, str]:
-    words = _row_text(_R3_COLUMNS)
+    words = _row_text(_R3_TEXTS)
     return {
         "r1_progress_by_exam": _progress(),
         "r2_class_totals": _totals(True),
@@ -361,13 +408,42 @@ def _reports() -> dict[str, str]:
             """SELECT * FROM report WHERE cursos IN ('Matemática', 'Língua Portuguesa') AND turma IN ('Turma B')"""
         ),
         "grid_facets": _facets(),
-        "grid_sort": _enrolment(),
-        "grid_page": _page(),
+        "grid_multiselect_contains": _listing(
+            """SELECT * FROM report WHERE (contains(lower(cursos), 'mat') OR contains(lower(cursos), 'xyz'))
+               AND contains(lower(turma), 'b')"""
+        ),
+        "grid_search_phrase": _listing(
+            f"SELECT * FROM report WHERE contains({words}, 'turma a') AND contains({words}, '.5')"
+        ),
+        "grid_sort": _enrolment(
+            _placed('"Quantidade de Alunos" DESC', '"Nome da Instituição"', '"Nome do College"')
+        ),
+        "grid_sort_columns": _listing(
+            _placed("turma DESC", "alunos_simulado", "escola", "cursos", "nome_simulado",
+                    "alunos_matriculados", "taxa_participacao")
+        ),
+        "order_r1": _progress(
+            _placed("escola", "turma", "disciplina", "simulado_minisimulado", '"simulados_concluídos"',
+                    "matriculados_na_turma")
+        ),
+        "order_r2": _totals(
+            True,
+            _placed("escola", "turma", "nome_do_simulado", "municipio", "ano", "disciplina",
+                    "simulados_concluidos", "matriculados_na_turma", '"média_notas"', "taxa_participacao"),
+        ),
+        "order_r3": _listing(_placed(*_R3_COLUMNS, "taxa_participacao")),
+        "order_r6": _exam_students(
+            _placed("curso", "escola", "turma", "cidade", "simulado", "n_user_id")
+        ),
+        "grid_page": _page(2, 25),
+        "grid_page_deep": _page(60, 10),
         "grid_counts": _listing(
             f"SELECT count(*) AS total, count(*) FILTER (contains({words}, 'minisim')) AS filtered FROM report"
         ),
         "preview": _preview(),
         "chart_series": _chart(),
-        "export_csv_rows": _csv(),
+        "export_csv_rows": _enrolment(_csv_line(tuple(f'CAST("{name}" AS VARCHAR)' for name in _R4_COLUMNS))),
+        "export_csv_listing": _listing(_csv_line(_R3_TEXTS)),
+        "export_csv_totals": _totals(True, _csv_line(_R2_TEXTS)),
         "export_json_rows": _json(),
     }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from boletim.operators import grid
-from boletim.operators.chart import chart_payload, chart_series
+from boletim.operators.chart import chart_payload, chart_series, write_chart
 from boletim.operators.filters import apply_filters
 from boletim.operators.order import sorted_by
 from boletim.plans import reports
@@ -76,6 +78,9 @@ def test_search(df):
     assert firsts(grid.search(df, "CAIO 2")) == ["Caio"]
     assert grid.search(df, "  ").count() == 5
     assert grid.search(df, "zz").count() == 0
+    assert grid.phrases('um "dois três" qua"tro') == ["um", "dois três", "qua", "tro"]
+    assert firsts(grid.search(df, '"escola a" 4')) == ["escola A"]
+    assert grid.search(df, '"a escola"').count() == 0
 
 
 def test_first_column_search(df):
@@ -84,11 +89,11 @@ def test_first_column_search(df):
 
 
 def test_multiselect(df):
-    both = grid.multiselect(df, {"turma": ["A", "B"], "tipo": ["x"]})
+    both = grid.multiselect(df, {"turma": ["A", "B"], "tipo": ["x"]}, match="exact")
     assert firsts(both) == ["Ana", "bia"]
     assert grid.multiselect(df, {"turma": []}).count() == 5
-    assert firsts(grid.multiselect(df, {"n": ["5", "4"]})) == [None, "escola A"]
-    part = grid.multiselect(df, {"nome": ["A", "zz"]}, match="contains")
+    assert firsts(grid.multiselect(df, {"n": ["5", "4"]}, "exact")) == [None, "escola A"]
+    part = grid.multiselect(df, {"nome": ["A", "zz"]})
     assert firsts(part) == ["Ana", "bia", "Caio", "escola A"]
 
 
@@ -107,30 +112,46 @@ def test_sort(df):
     assert firsts(grid.sort(df)) == ["Ana", "Caio", "bia", "escola A", None]
     assert [row.n for row in grid.sort(df, "n", descending=True).collect()] == [5, 4, 3, 2, 1]
     assert [row.nome for row in grid.sort(df, "turma").collect()][-2:] == ["bia", "escola A"]
+    several = grid.sort(df, [("turma", True), ("tipo", False)]).collect()
+    assert [row.n for row in several] == [1, 4, 3, 5, 2]
     with pytest.raises(ValueError):
         grid.sort(df, "outra")
 
 
-def test_pages_make_up_the_sorted_whole(spark, monkeypatch):
+def test_pages_make_up_the_sorted_whole(spark, tmp_path):
     df = spark.range(0, 95, 1, 4).select(
         F.when(F.col("id") % 7 != 0, (F.col("id") % 3).cast("string")).alias("k"),
         (F.col("id") % 10).alias("v"),
         "id",
     )
     whole = [tuple(row) for row in grid.sort(df).collect()]
-    shallow = [tuple(r) for n in range(10) for r in grid.page(df, n, 10).collect()]
-    assert shallow == whole
-    # The same pages by position, as far into a long result.
-    monkeypatch.setattr(grid, "SHALLOW_ROWS", 20)
-    deep = [tuple(r) for n in (0, 1, 2, 5, 9) for r in grid.page(df, n, 10).collect()]
-    assert deep == whole[:30] + whole[50:60] + whole[90:]
-    assert grid.page(df, 50, 10).collect() == []
+    rows = grid.store(df, str(tmp_path / "report"))
+    assert [tuple(r) for n in range(10) for r in grid.page(rows, n, 10).collect()] == whole
+    assert grid.page(rows, 50, 10).collect() == []
+    again = grid.stored(spark, str(tmp_path / "report"))
+    assert [tuple(r) for r in grid.page(again, 9, 10).collect()] == whole[90:]
 
 
-def test_positions(spark):
+def test_positions(spark, tmp_path):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("v"))
-    rows = grid.numbered(df, grid.total_order(df)).collect()
-    assert sorted((row.position, row.v) for row in rows) == [(n, n) for n in range(1000)]
+    rows = grid.store(df, str(tmp_path / "report"), descending=True).collect()
+    assert sorted((row.position, row.v) for row in rows) == [(n, 999 - n) for n in range(1000)]
+
+
+def test_a_stored_report_is_not_run_again(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(1)
+            yield batch
+
+    df = spark.range(0, 10, 1, 1).mapInArrow(counted, "id long")
+    rows = grid.store(df, str(tmp_path / "report"))
+    first = runs.value
+    assert grid.counts(rows, grid.selected(rows, {"id": ["3"]}, "exact")).first() == (10, 1)
+    assert grid.page(rows, 1, 4).count() == 4 and grid.facets(rows).count() == 20
+    assert runs.value == first
 
 
 def test_counts(df):
@@ -150,5 +171,14 @@ def test_chart(df):
         "labels": ["A", "B"],
         "datasets": [{"label": "x", "data": [3, 1]}, {"label": "y", "data": [5, 4]}],
     }
-    with pytest.raises(ValueError):
-        chart_payload(wide, max_labels=1)
+    whole = chart_series(df, "turma", "tipo", "n", ["x"], other="outros")
+    assert sorted(tuple(row) for row in whole.collect()) == [("A", 3, 7), ("B", 1, 4)]
+
+
+def test_chart_files(df, tmp_path):
+    write_chart(chart_series(df, "turma", "tipo", "n", ["x"], other="outros"), str(tmp_path / "out"))
+    lines = [line for path in sorted(tmp_path.glob("out/part-*")) for line in path.read_text().splitlines()]
+    assert [json.loads(line) for line in lines] == [
+        {"turma": "A", "x": 3, "outros": 7},
+        {"turma": "B", "x": 1, "outros": 4},
+    ]

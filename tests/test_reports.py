@@ -124,6 +124,18 @@ def test_double_grades_give_the_same_means(spark):
     )
 
 
+def test_grades_keep_all_their_digits(spark):
+    from boletim.schema import conform
+
+    t = dict(tables(spark))
+    plain = t["quiz_grades"]
+    for text, mean in (("6.2499999", "6.2"), ("6.249999999999999999", "6.2"), ("6.25", "6.3")):
+        fine = plain.withColumn("average", F.lit(text).cast("decimal(38,18)"))
+        t["quiz_grades"] = conform("quiz_grades", fine)
+        found = {row["média_notas"] for row in reports.class_totals(t).collect()}
+        assert found - {None} == {D(mean)}
+
+
 def test_enrolment_by_college(t):
     report = reports.enrolment_by_college(t)
     assert report.columns == ["Nome da Instituição", "Nome do College", "Quantidade de Alunos"]

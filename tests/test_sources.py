@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from boletim.schema import FACTS, SCHEMAS, conform
+from boletim.schema import FACTS, GROWING, SCHEMAS, conform
 from boletim.sources import jdbc_options, read_jdbc, read_parquet, school_tables
 from boletim.sources.jdbc import Split
 from tests.conftest import DATA
@@ -39,7 +39,11 @@ def test_missing_and_wrong_columns_are_named(spark):
 def test_compatible_types_are_cast(spark):
     df = spark.createDataFrame([(1, 2, 6.25)], "user_id int, quiz_id int, average double")
     found = conform("quiz_grades", df)
-    assert found.dtypes == [("user_id", "bigint"), ("quiz_id", "bigint"), ("average", "decimal(15,6)")]
+    assert found.dtypes == [("user_id", "bigint"), ("quiz_id", "bigint"), ("average", "decimal(38,18)")]
+    whole = spark.createDataFrame([(1, 2, 6)], "user_id int, quiz_id int, average int")
+    assert conform("quiz_grades", whole).dtypes[2] == ("average", "decimal(21,1)")
+    own = whole.selectExpr("user_id", "quiz_id", "CAST(6.25 AS DECIMAL(38, 18)) AS average")
+    assert conform("quiz_grades", own).dtypes[2] == ("average", "decimal(38,18)")
 
 
 def test_jdbc_options():
@@ -58,6 +62,10 @@ def test_jdbc_options():
         jdbc_options({}, "users")
 
 
-def test_jdbc_facts_are_never_read_by_one_task(spark):
-    with pytest.raises(ValueError, match=", ".join(FACTS)):
+def test_tables_that_grow_are_never_read_by_one_task(spark):
+    assert set(FACTS) < set(GROWING)
+    with pytest.raises(ValueError, match=", ".join(GROWING)):
         read_jdbc(spark, CONNECTION)
+    facts = {name: Split("user_id", 1, 1000, 8) for name in FACTS}
+    with pytest.raises(ValueError, match="users, quizzes"):
+        read_jdbc(spark, CONNECTION, facts)
