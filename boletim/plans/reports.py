@@ -355,15 +355,3 @@ def scoped_exams(
         F.col("exam").alias("simulado"),
         "n_user_id",
     )
-
-
-REPORTS = {
-    "progress_by_exam": progress_by_exam,
-    "class_totals": class_totals,
-    "listing_with_rate": listing_with_rate,
-    "enrolment_by_college": enrolment_by_college,
-    "hierarchy_listing": hierarchy_listing,
-    "students_by_exam": students_by_exam,
-    "students_by_exam_holding": students_by_exam_holding,
-    "scoped_exams": scoped_exams,
-}
