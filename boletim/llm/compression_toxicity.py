@@ -1,12 +1,13 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A text is cut into windows of a few words. Each window is compressed twice, with the ordinary dictionary
-and with the toxic one; the distance is by how many bytes the toxic dictionary does better. Both dictionaries are
-trained by the zstandard library. The toxic one is trained on the passages of toxic documents that set them apart
-(words holding byte runs found in many toxic and few ordinary learning documents) and is then laid over the
-ordinary one, so both explain ordinary text equally well and the distance of an ordinary window is about zero. The
-threshold of a window is calibrated on ordinary learning documents, and the score of a document, from its largest
-distance and its windows beyond the threshold, by logistic regression on learning documents that no dictionary saw.
+A text is cut into windows of a few words. Each window is compressed twice, with the ordinary dictionary and with
+the toxic one. Where the toxic one saves bytes, each word is compressed by itself between bytes both dictionaries
+hold; its distance is what the toxic dictionary saves less what it still needs, so a word it holds whole stands out. The
+ordinary dictionary is trained by the zstandard library on windows of ordinary documents. The toxic one is laid over it, so both
+explain ordinary text equally well, and holds the passages that set toxic learning documents apart: what is covered by byte
+runs and words found in many toxic and few ordinary documents, the commonest nearest. The threshold of a word is calibrated on
+ordinary documents, and the score of a document, from its largest distance and its words beyond the threshold, by
+logistic regression, on learning documents that no dictionary had seen by then.
 
 Edge cases: a null text is empty; empty texts have no window and get a score like any text without
 distance; repeated rows are scored one by one; without learnable labels of both kinds every score is the share
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boletim.llm.common import kept_rows, learning_rows, remainder, steps
+from boletim.llm.words import span_hashes
 
 #: At most so many labelled documents are used to train and calibrate.
 FIT_ROWS = 8_000
@@ -32,10 +34,11 @@ FIT_ROWS = 8_000
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 4_096
 TOXIC_BYTES = 4_096
-#: Bytes in a run that may set toxic text apart, beside whole words; least toxic documents that must hold it, the
-#: chance that so many documents all happen to be toxic, and the share of toxic text among the run's documents if both
-#: kinds were equally common.
+#: Bytes in a run that may set toxic text apart, beside whole words, and most bytes of a passage; least toxic documents
+#: that must hold a run, the chance that so many documents all happen to be toxic, and the share of toxic text among the
+#: run's documents if both kinds were equally common.
 RUNS = (5, 8)
+LONGEST = 50
 LEAST_TOXIC = 3
 CHANCE = 1e-4
 LEAST_SHARE = 0.97
@@ -95,13 +98,38 @@ def _filler(size: int) -> bytes:
     return bytes(1 + (i * 7 + i // 5) % 8 for i in range(size))
 
 
-def _runs(word: bytes) -> list[tuple[int, bytes]]:
-    """Runs of a word between spaces, with their places: those of ``RUNS`` bytes and the whole word."""
-    piece = b" " + word[:48] + b" "
-    found = [(i, piece[i : i + n]) for n in RUNS for i in range(len(piece) - n + 1)]
-    if len(piece) not in RUNS:
-        found.append((0, piece))
-    return found
+class _Runs:
+    """Runs of a text's words, the spaces beside them included: of ``RUNS`` bytes, and whole words.
+
+    ``keys`` has for each kind the runs as numbers, ``start`` and ``end`` their places in ``text`` and ``word`` the
+    number of the word each lies in; ``before`` has a hash of the word before each word.
+    """
+
+    def __init__(self, source: bytes) -> None:
+        self.text = b" " + b" ".join(source.lower().split()) + b" "
+        data = np.frombuffer(self.text, np.uint8)
+        spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
+        first = np.flatnonzero(data == 0x20)
+        starts, ends = first[:-1] + 1, first[1:]
+        full = starts < ends
+        starts, ends = starts[full], ends[full]
+        whole = span_hashes(data, starts, ends)
+        self.before = np.concatenate([np.zeros(1, np.uint64), whole])
+        self.keys, self.start, self.end, self.word = [], [], [], []
+        for n in RUNS:
+            at = np.arange(max(len(data) - n + 1, 0))
+            at = at[spaces[at + n - 1] == spaces[at + 1]]  # no space but at the ends
+            key = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                key = key << np.uint64(8) | data[at + k].astype(np.uint64)
+            self._add(key, at, at + n, np.searchsorted(ends, at, "right"))
+        self._add(whole, starts - 1, ends + 1, np.arange(len(starts)))
+
+    def _add(self, key, start, end, word) -> None:
+        self.keys.append(key)
+        self.start.append(start.astype(np.int32))
+        self.end.append(end.astype(np.int32))
+        self.word.append(word.astype(np.int32))
 
 
 def telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
@@ -109,39 +137,38 @@ def telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
 
     A run must follow several different words, or copies of one document would make all their runs telling.
     """
-    cut = {word: _runs(word) for text in toxic for word in set(text.lower().split())}
-    seen: Counter[bytes] = Counter()
-    for text in toxic:
-        seen.update({run for word in set(text.lower().split()) for _, run in cut[word]})
     share = len(toxic) / max(len(toxic) + len(ordinary), 1)
     least = max(LEAST_TOXIC, np.log(CHANCE) / np.log(min(max(share, 1e-6), 0.5)))
-    common = {run for run, n in seen.items() if n >= least}
-    other: Counter[bytes] = Counter()
-    known: dict[bytes, list[bytes]] = {}
-    for text in ordinary:
-        held = set()
-        for word in set(text.lower().split()):
-            if word not in known:
-                known[word] = [run for _, run in _runs(word) if run in common]
-            held.update(known[word])
-        other.update(held)
     weight = len(ordinary) / max(len(toxic), 1)
-    telling = {r for r in common if seen[r] * weight >= LEAST_SHARE / (1 - LEAST_SHARE) * other[r]}
-    before: dict[bytes, set[bytes]] = {run: set() for run in telling}
-    held_by = {word: [hit for hit in found if hit[1] in telling] for word, found in cut.items()}
-    for text in toxic:
-        last = b""
-        for word in text.lower().split():
-            for _, run in held_by[word]:
-                before[run].add(last)
-            last = word
-    out = []
-    for text in toxic:
-        for word in text.lower().split():
-            spans = [(i, i + len(run)) for i, run in held_by[word] if len(before[run]) >= least]
-            if spans:
-                piece = b" " + word[:48] + b" "
-                out.append(piece[min(a for a, _ in spans) : max(b for _, b in spans)])
+    kinds = range(len(RUNS) + 1)
+    held = [_Runs(text) for text in toxic]
+    telling = []
+    for kind in kinds:
+        empty = [np.zeros(0, np.uint64)]
+        run, seen = np.unique(np.concatenate(empty + [np.unique(r.keys[kind]) for r in held]), return_counts=True)
+        telling.append([run[seen >= least], seen[seen >= least], np.zeros(int((seen >= least).sum()), np.int64)])
+    for text in ordinary:
+        runs = _Runs(text)
+        for kind, (run, _, other) in enumerate(telling):
+            other[np.isin(run, runs.keys[kind])] += 1
+    out: list[bytes] = []
+    varied = []
+    for kind, (run, seen, other) in enumerate(telling):
+        run = run[seen * weight >= LEAST_SHARE / (1 - LEAST_SHARE) * other]
+        pairs = [np.zeros((0, 2), np.uint64)]
+        for r in held:
+            hit = np.isin(r.keys[kind], run)
+            pairs.append(np.unique(np.column_stack([r.keys[kind][hit], r.before[r.word[kind][hit]]]), axis=0))
+        own, words = np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
+        varied.append(own[words >= least])
+    for r in held:
+        spans: dict[int, tuple[int, int]] = {}
+        for kind in kinds:
+            for i in np.flatnonzero(np.isin(r.keys[kind], varied[kind])).tolist():
+                word, start, end = int(r.word[kind][i]), int(r.start[kind][i]), int(r.end[kind][i])
+                a, b = spans.get(word, (start, end))
+                spans[word] = min(a, start), max(b, end)
+        out += [r.text[a : min(b, a + LONGEST)] for _, (a, b) in sorted(spans.items())]
     return out
 
 
@@ -197,7 +224,7 @@ class Detector:
 
 
 def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
-    """Two thirds of the texts train the dictionaries, the others calibrate."""
+    """Two thirds of the texts train the dictionaries, the others calibrate; then the toxic one is trained on all."""
     nothing = Detector(b"", b"", 0.0, np.zeros(3), np.zeros(3), np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
     if len(np.unique(labels)) < 2:
         return nothing
@@ -223,6 +250,9 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
         slope = x.T @ (y - p) - 0.01 * beta
         beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), slope)
     detector.base, detector.weights = float(beta[0]), beta[1:]
+    # Calibrated on unseen texts, the dictionary may now learn from these too.
+    both = [[t for t, y in zip(texts, labels, strict=True) if y == kind] for kind in (1, 0)]
+    detector.toxic = _commonest(telling_passages(*both), TOXIC_BYTES, 2)
     return detector
 
 
