@@ -98,6 +98,8 @@ def kd_shards(documents: DataFrame, shards: int | None = None, target_bytes: int
         F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", "row"), 64 - 2 * BITS).alias("tie"),
         F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("leaves"),
     )
+    # As files, the first node is a column like any other; as a constant it would turn joins into products with one row.
+    tree = written(tree, "tree")
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         spread = [F.struct((F.max(d) - F.min(d)).alias("spread"), F.lit(-i).alias("order")) for i, d in enumerate(DIMENSIONS)]
         nodes = tree.filter("leaves > 1").groupBy("first", "leaves").agg(
