@@ -173,7 +173,8 @@ def mixed(documents: DataFrame, weights: DataFrame | None = None, block_rows: in
         rows = rows.withColumn(own_twin, F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.lit(0))))
         same = same & (F.col(twin) == F.col(own_twin))
     return (
-        rows.join(order, same)
+        # Sorted and merged at every size: a broadcast at small sizes would hide what the shuffle of the texts takes.
+        rows.join(order.hint("merge"), same)
         .repartitionByRange(position)
         .sortWithinPartitions(position)
         .select(*[f"`{name}`" for name in documents.columns])

@@ -44,12 +44,14 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: Likeliest overlap from which a pair is compared, as a share; the estimate's deviation is about 0.03.
 LOOK_FROM = 0.70
+#: Equal registers from which the likelihood is worked out: six deviations below the mean at the threshold.
+LEAST_EQUAL = 70
 #: Documents and bytes of sets in a block.
 BLOCK_ROWS = 400
 BLOCK_BYTES = 8 << 20
 
 _MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-_GRID = np.linspace(0.005, 0.995, 100)
+_GRID = np.linspace(0.4, 0.995, 60)
 
 
 def sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -67,7 +69,8 @@ def sets(texts: list[bytes]) -> list[np.ndarray]:
     out = [members[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
     for i in np.flatnonzero((w.counts > 0) & (w.counts < WIDTH)):
         own = hashes[w.first[i] : w.first[i + 1]]
-        out[i] = mix(np.array([(own * PLACES[: len(own)]).sum() + PLACES[14] * np.uint64(len(own))], np.uint64))
+        total = (own * PLACES[: len(own)]).sum(keepdims=True) + PLACES[14:15] * np.uint64(len(own))
+        out[i] = mix(total)
     return out
 
 
@@ -91,7 +94,10 @@ def band_hashes(sketches: np.ndarray) -> np.ndarray:
 
 
 def likeliest(greater: np.ndarray, equal: np.ndarray, smaller: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
-    """Overlap of the greatest joint likelihood, for a set of ``n`` members against others of known sizes."""
+    """Overlap of the greatest joint likelihood, for a set of ``n`` members against others of known sizes.
+
+    Overlaps below those of interest aren't tried: the least one stands for them.
+    """
     u = (n / (n + others))[:, None]
     v = 1 - u
     overlap = np.minimum(_GRID[None, :], np.minimum(u / v, v / u))
@@ -197,7 +203,7 @@ def block_links(reps, components, sides, texts, sketches, both: bool) -> list[tu
         if not len(rest):
             continue
         equal = (sketch[rest] == sketch[i]).sum(axis=1)
-        rest, equal = rest[equal >= REGISTERS // 2], equal[equal >= REGISTERS // 2]
+        rest, equal = rest[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
         if not len(rest):
             continue
         greater = (sketch[i] > sketch[rest]).sum(axis=1)
@@ -301,7 +307,8 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     kept = near_duplicates(documents).filter("kept AND doc_id IS NOT NULL")
     own = fresh(documents, "kept_id")
     kept = written(kept.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("rows")), "kept")
-    rows = documents.join(kept.select(own), F.col("doc_id").cast("long") == F.col(own), "left_semi")
+    # Sorted and merged at every size: a broadcast at small sizes would hide what the shuffle of the texts takes.
+    rows = documents.join(kept.select(own).hint("merge"), F.col("doc_id").cast("long") == F.col(own), "left_semi")
     if kept.filter("rows > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id"])
     return rows.unionByName(documents.filter("doc_id IS NULL")).select(*[f"`{name}`" for name in documents.columns])
