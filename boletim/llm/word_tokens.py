@@ -17,16 +17,17 @@ import regex
 from tokenizers import Tokenizer
 
 #: Entries of the tables of words and of pieces.
-WORDS = 1_200_000
-PIECES = 900_000
+WORDS = 900_000
+PIECES = 700_000
 #: Pieces that go through the library in one text.
 _TOGETHER = 64
 
-#: Fixed values of the tokenizer file: its pieces, and the mark of a word's last token.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed values of the tokenizer file: its pieces (and the line feed put between words), and the mark of a word's last
+#: token.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
 _WORD_END = "</w>"
 #: Letters whose class, lower case and composed form are the same in every version of Unicode.
-_COMMON = regex.compile(r"[!-~¡-į]+")
+_COMMON = regex.compile(r"[!-~¡-į\n]*")
 
 
 class WordTokens:
@@ -60,20 +61,32 @@ class WordTokens:
     def _learn(self, words: set[bytes]) -> None:
         if len(self._pieces) > self._most[1]:
             self._pieces.clear()
-        parts: dict[bytes, list[str]] = {}
-        for word in words:
-            text = word.decode()
-            if _COMMON.fullmatch(text) and "<|" not in text:
-                parts[word] = _PIECE.findall(text.lower())
-            else:
-                self._words[word] = self.library_ids(text).tobytes()
-        missing = list(set(chain.from_iterable(parts.values())).difference(self._pieces))
+        known = list(words)
+        text = b"\n".join(known).decode()
+        if "<|" in text or not _COMMON.fullmatch(text):
+            odd = [w for w in known if b"<|" in w or not _COMMON.fullmatch(w.decode())]
+            self._words.update((word, self.library_ids(word.decode()).tobytes()) for word in odd)
+            known = list(words.difference(odd))
+            text = b"\n".join(known).decode()
+        if not known:
+            return
+        # One pass cuts all words; a line feed stands between two of them.
+        found = _PIECE.findall(text.lower())
+        missing = list(set(found).difference(self._pieces))
         for at in range(0, len(missing), _TOGETHER):
-            self._learn_pieces(missing[at : at + _TOGETHER])
-        find = self._pieces.__getitem__
-        self._words.update((word, b"".join(map(find, pieces))) for word, pieces in parts.items())
+            self._learn_pieces([p for p in missing[at : at + _TOGETHER] if p != "\n"])
+        find, own, at = self._pieces.__getitem__, [], 0
+        for piece in found:
+            if piece == "\n":
+                self._words[known[at]] = own[0] if len(own) == 1 else b"".join(own)
+                own, at = [], at + 1
+            else:
+                own.append(find(piece))
+        self._words[known[at]] = own[0] if len(own) == 1 else b"".join(own)
 
     def _learn_pieces(self, pieces: list[str]) -> None:
+        if not pieces:
+            return
         ids = self.library_ids(" ".join(pieces))
         ends = np.flatnonzero(self._ends[ids]) + 1
         if len(ends) != len(pieces):
@@ -85,11 +98,12 @@ class WordTokens:
             start = end
 
 
-_LOADED: dict[str, WordTokens] = {}
+_LOADED: dict[tuple[str, int, int], WordTokens] = {}
 
 
-def loaded(path: str) -> WordTokens:
-    """One per worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+def loaded(path: str, words: int = WORDS, pieces: int = PIECES) -> WordTokens:
+    """One per worker, file and size of the tables."""
+    key = path, words, pieces
+    if key not in _LOADED:
+        _LOADED[key] = WordTokens(*key)
+    return _LOADED[key]
