@@ -33,8 +33,11 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW = 16
 CUT_BITS = 9
 LEAST = 64
-#: Bytes of ids and chunks kept by a worker.
-TABLE_BYTES = 48 << 20
+#: Bytes of ids and chunks kept by a worker, and entries of its tables of words and of pieces. A worker keeps them
+#: while it serves later stages, so they are small.
+TABLE_BYTES = 16 << 20
+WORDS = 250_000
+PIECES = 300_000
 
 _FIRST_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -132,7 +135,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 def encoder(path: str) -> ChunkEncoder:
     """One per worker and file, so its tables serve all tasks of the worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(loaded(path))
+        _ENCODERS[path] = ChunkEncoder(loaded(path, WORDS, PIECES))
     return _ENCODERS[path]
 
 
