@@ -6,8 +6,10 @@ neighbours of a vector, in both directions, are compared with each other, and ev
 it. Rounds end when one finds no new pair beyond the threshold.
 
 A list all of whose places are taken by neighbours beyond the threshold is saturated: there may be more. Lists
-are then enlarged to all that a vector reaches over pairs beyond the threshold: every such group is compared in full, in
-double precision, block against block, which gives the exact links inside it without writing out pairs. An audit
+are then enlarged to all that a vector reaches over pairs beyond the threshold, its group. What several groups share a cell of
+planes is compared across them in full, so that a link counts however many nearer neighbours both ends have; groups
+with such links become one. Every group is then compared in full, in double precision, block against block, which gives the
+exact links inside it without writing out pairs. An audit
 compares a bounded set of vectors with all others and counts their links; if less than the wanted share was found, more
 planes and rounds follow.
 
@@ -38,8 +40,12 @@ BLOCK_ROWS = 256
 AUDIT_ROWS = 256
 AUDIT_SHARE = 0.98
 AUDITS = 3
-#: What a similarity in single precision may be off by.
+#: Rows in a cell and in a block where groups are compared with each other.
+CELL_ROWS = 1024
+CROSS_ROWS = 512
+#: What a similarity in single and in half precision may be off by.
 SLACK = 1e-5
+HALF_SLACK = 2e-3
 
 _PAIRS = "u long, v long, similarity float"
 
@@ -77,22 +83,35 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     return found.withColumns({"key_a": F.xxhash64("vector"), "key_b": F.xxhash64(F.lit(3), "vector")})
 
 
-def _start(classes: DataFrame, tables: range) -> DataFrame:
-    """Neighbours inside blocks of vectors on the same sides of random planes, for each table of planes."""
+def _hashed(classes: DataFrame, tables: range, cell: int, columns: str = "") -> DataFrame:
+    """``rep, label, size, vector, t, side`` of every vector in each table of planes: its cell there.
+
+    The planes of a label leave about ``cell`` rows or less in a cell of vectors spread evenly. ``columns`` are further ones
+    to keep, as a schema; the vector goes on in half precision if there are any.
+    """
     groups = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows"))
     # A row for each label and length.
     planes = groups.select(
         F.col("label").alias("_l"), F.col("size").alias("_s"),
-        F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / (BLOCK_ROWS / 2)))).cast("int").alias("planes"),
+        F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / cell))).cast("int").alias("planes"),
     )
     rows = classes.join(planes, (F.col("label") == F.col("_l")) & (F.col("size") == F.col("_s")))
-    rows = rows.select("rep", "label", "size", "vector", "planes")
+    more = [c.split()[0] for c in columns.split(",") if c]
+    rows = rows.select("rep", "label", "size", "vector", "planes", *more)
 
     def hashed(batches):
         for batch in batches:
             stored = batch.column("vector").to_pylist()
             sizes = np.array(batch.column("size").to_pylist())
             planes_of = np.array(batch.column("planes").to_pylist())
+            vector = batch.column("vector")
+            if more:
+                half = [b""] * len(stored)
+                for size in np.unique(sizes):
+                    own = np.flatnonzero(sizes == size)
+                    for i, x in zip(own, _unit([stored[i] for i in own], np.float16), strict=True):
+                        half[i] = x.tobytes()
+                vector = pa.array(half, pa.binary())
             for t in tables:
                 side = np.zeros(len(stored), np.int64)
                 for size in np.unique(sizes):
@@ -103,12 +122,17 @@ def _start(classes: DataFrame, tables: range) -> DataFrame:
                     use = np.arange(max(most, 1))[None, :] < planes_of[own][:, None]
                     side[own] = (above & use) @ (1 << np.arange(max(most, 1), dtype=np.int64))
                 yield pa.record_batch(
-                    [batch["rep"], batch["label"], batch["size"], batch["vector"],
-                     pa.array(np.full(len(stored), t, np.int32)), pa.array(side)],
-                    ["rep", "label", "size", "vector", "t", "side"],
+                    [batch["rep"], batch["label"], batch["size"], vector,
+                     pa.array(np.full(len(stored), t, np.int32)), pa.array(side), *[batch[c] for c in more]],
+                    ["rep", "label", "size", "vector", "t", "side", *more],
                 )
 
-    placed = rows.mapInArrow(hashed, "rep long, label string, size int, vector binary, t int, side long")
+    return rows.mapInArrow(hashed, "rep long, label string, size int, vector binary, t int, side long" + (columns and ", " + columns))
+
+
+def _start(classes: DataFrame, tables: range) -> DataFrame:
+    """Neighbours inside blocks of vectors on the same sides of random planes, for each table of planes."""
+    placed = _hashed(classes, tables, BLOCK_ROWS // 2)
     crowd = placed.groupBy("t", "label", "size", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     key = ["t", "label", "size", "side"]
     placed = placed.join(crowd, key).withColumn("block", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")))
@@ -180,6 +204,75 @@ def descend(lists: DataFrame, classes: DataFrame, threshold: float, rounds: int
     return lists
 
 
+def _across(classes: DataFrame, groups: DataFrame, threshold: float, tables: range) -> DataFrame:
+    """``a, b``: links between groups, from all pairs of different groups that share a cell in one of the tables.
+
+    A vector in no group is one of its own. A cell is compared in blocks, each with each other one; a group with more
+    rows there than a block has blocks of its own, which aren't compared among each other. Of a pair of blocks the links are those that
+    join its groups, not all pairs. In half precision they may fall short of the threshold by ``HALF_SLACK``, which
+    the comparison inside the joined groups makes good.
+    """
+    rows = classes.join(groups, F.col("rep") == F.col("node"), "left").select(
+        "rep", "label", "size", "vector", F.coalesce("component", "rep").alias("family")
+    )
+    cell = ["t", "label", "size", "side"]
+    placed = written(_hashed(rows, tables, CELL_ROWS, "family long"), "cells")
+    own = placed.groupBy(*cell, "family").agg(F.count(F.lit(1)).alias("rows"))
+    own = own.withColumn("big", F.when(F.col("rows") > CROSS_ROWS, F.col("family")))
+    crowd = own.groupBy(*cell, "big").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("families"))
+    crowd = crowd.withColumn("blocks", F.ceil(F.col("rows") / CROSS_ROWS).cast("int"))
+    # A row for the small families of a cell, and one for each big one.
+    every = Window.partitionBy(*cell)
+    crowd = crowd.withColumns({
+        "all": F.sum("blocks").over(every).cast("int"), "among": F.sum("families").over(every),
+        "from": (F.sum("blocks").over(every.orderBy(F.col("big").asc_nulls_first())) - F.col("blocks")).cast("int"),
+    }).filter("among > 1")
+    crowd = written(crowd.select(*cell, "big", "blocks", "all", "from"), "crowds")
+    big = crowd.filter("big IS NOT NULL").withColumnRenamed("big", "family")
+    large = placed.join(big, [*cell, "family"]).withColumn("whole", F.lit(True))
+    small = placed.join(big.select(*cell, "family"), [*cell, "family"], "left_anti")
+    small = small.join(crowd.filter("big IS NULL").drop("big"), cell).withColumn("whole", F.lit(False))
+    small = small.select(*large.columns)
+    spread = large.union(small).withColumn("block", F.col("from") + F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("all") - 1),
+        lambda i: ~F.col("whole") | (i < F.col("from")) | (i >= F.col("from") + F.col("blocks")),
+    )
+    spread = spread.withColumn("other", F.explode(others))
+    spread = spread.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    key = (*cell, "left", "right")
+    spread = spread.select(*key, "block", "family", "vector").repartition(*key).sortWithinPartitions(*key)
+
+    def links(batches):
+        for (*_, left, right), rows in runs(batches, key):
+            family, block = np.array(rows["family"]), np.array(rows["block"])
+            x = np.array([np.frombuffer(v, np.float16) for v in rows["vector"]]).astype(np.float32)
+            names, number = np.unique(family, return_inverse=True)
+            here, there = (np.arange(len(x)),) * 2 if left == right else (np.flatnonzero(block == left), np.flatnonzero(block == right))
+            pairs = [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(here), CROSS_ROWS):
+                part = here[at : at + CROSS_ROWS]
+                i, j = np.nonzero(x[part] @ x[there].T >= threshold - HALF_SLACK)
+                pairs.append(np.unique(np.column_stack([number[part[i]], number[there[j]]]), axis=0))
+            root = list(range(len(names)))
+
+            def top(n, root=root):
+                while root[n] != n:
+                    root[n] = root[root[n]]
+                    n = root[n]
+                return n
+
+            for i, j in np.concatenate(pairs).tolist():
+                i, j = top(i), top(j)
+                root[max(i, j)] = min(i, j)
+            joined = [(top(n), n) for n in range(len(names)) if top(n) != n]
+            if joined:
+                a, b = np.array(joined).T
+                yield pa.record_batch([pa.array(names[a]), pa.array(names[b])], ["a", "b"])
+
+    return spread.mapInArrow(links, "a long, b long")
+
+
 def _in_groups(classes: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """``rep, links, root``: exact links of each vector inside its group, by block, and the smallest it joins there."""
     rows = classes.join(groups, F.col("rep") == F.col("node")).select("rep", "copies", "vector", "component")
@@ -267,7 +360,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         lists = written(_lists(fresh if lists is None else lists.union(fresh)), "lists")
         lists = descend(lists, classes, threshold)
         near = lists.filter((F.col("similarity") >= threshold - SLACK) & (F.col("u") != F.col("v")))
-        groups = components(near.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        near = near.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        across = written(_across(classes, components(near), threshold, tables), "across")
+        groups = components(near.union(across))
         inside = written(_in_groups(classes, groups, threshold), "inside")
         found = written(inside.groupBy("rep").agg(F.sum("links").alias("links")), "found")
         if _audit(classes, found, threshold) >= AUDIT_SHARE:

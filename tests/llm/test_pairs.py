@@ -161,3 +161,16 @@ def test_few_vectors(shipped, rows):
 
 def test_given_vectors(shipped, small):
     check_vectors(shipped, small("SELECT vec_id, embedding, label FROM embeddings"))
+
+
+def test_families_of_families_of_vectors(shipped):
+    # Each vector has more and nearer neighbours in its own family than a list has places.
+    random = np.random.default_rng(11)
+    rows = []
+    for label in range(6):
+        centre = random.normal(size=64)
+        for _ in range(3):
+            own = centre + random.normal(0, 0.22, 64)
+            rows += [(len(rows) + k, (own + random.normal(0, 0.01, 64)).astype("f4").tolist(), label) for k in range(20)]
+    assert sum(links > 19 for _, links, _ in vectors_wanted(rows)) > len(rows) / 2
+    check_vectors(shipped, rows)
