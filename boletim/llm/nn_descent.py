@@ -9,9 +9,10 @@ A list all of whose places are taken by neighbours beyond the threshold is satur
 are then enlarged to all that a vector reaches over pairs beyond the threshold, its group. What several groups share a cell of
 planes is compared across them in full, so that a link counts however many nearer neighbours both ends have; groups
 with such links become one. Every group is then compared in full, in double precision, block against block, which gives the
-exact links inside it without writing out pairs. An audit
-compares a bounded set of vectors with all others and counts their links; if less than the wanted share was found, more
-planes and rounds follow.
+exact links inside it without writing out pairs. The
+number of tables of planes there follows from the rows of a label: a pair at the threshold that nothing else connects is
+lost once in 10,000 at any size. An audit compares a bounded set of vectors with all others; if any of them lacks a
+link, more tables and rounds follow, and an error is raised if that doesn't help.
 
 Vectors equal in every component form a class and go on as one; their copies count in the number of links.
 
@@ -36,15 +37,17 @@ PLACES = 8
 TABLES = 4
 ROUNDS = 6
 BLOCK_ROWS = 256
-#: Vectors the audit compares with all others, the share of their links that must be found, and its most repeats.
+#: Chance that a pair at the threshold shares no cell in any of the tables where groups are compared with each other.
+MISS = 1e-4
+#: Vectors the audit compares with all others, and its most repeats.
 AUDIT_ROWS = 256
-AUDIT_SHARE = 0.98
 AUDITS = 3
 #: Rows in a cell and in a block where groups are compared with each other.
 CELL_ROWS = 1024
 CROSS_ROWS = 512
-#: What a similarity in single and in half precision may be off by.
+#: What a similarity in single, double and half precision may be off by.
 SLACK = 1e-5
+ROUNDING = 1e-12
 HALF_SLACK = 2e-3
 
 _PAIRS = "u long, v long, similarity float"
@@ -83,11 +86,17 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     return found.withColumns({"key_a": F.xxhash64("vector"), "key_b": F.xxhash64(F.lit(3), "vector")})
 
 
-def _hashed(classes: DataFrame, tables: range, cell: int, columns: str = "") -> DataFrame:
-    """``rep, label, size, vector, t, side`` of every vector in each table of planes: its cell there.
+def tables_for(planes: int, threshold: float) -> int:
+    """Tables in which a pair at the threshold shares no cell of so many planes with a chance of ``MISS`` at most."""
+    chance = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** planes
+    return 1 if chance >= 1 - MISS else int(np.ceil(np.log(MISS) / np.log1p(-chance)))
 
-    The planes of a label leave about ``cell`` rows or less in a cell of vectors spread evenly. ``columns`` are further ones
-    to keep, as a schema; the vector goes on in half precision if there are any.
+
+def _hashed(classes: DataFrame, first: int, tables, cell: int, keep: str) -> DataFrame:
+    """``rep, label, size, t, side`` and a column to keep: each vector's cell in each table of planes, from table ``first`` on.
+
+    The planes of a label leave about ``cell`` rows or less in a cell of vectors spread evenly; ``tables`` gives the
+    number of tables for a number of planes.
     """
     groups = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows"))
     # A row for each label and length.
@@ -95,44 +104,50 @@ def _hashed(classes: DataFrame, tables: range, cell: int, columns: str = "") ->
         F.col("label").alias("_l"), F.col("size").alias("_s"),
         F.greatest(F.lit(0), F.ceil(F.log2(F.col("rows") / cell))).cast("int").alias("planes"),
     )
+    kept = keep.split()[0]
     rows = classes.join(planes, (F.col("label") == F.col("_l")) & (F.col("size") == F.col("_s")))
-    more = [c.split()[0] for c in columns.split(",") if c]
-    rows = rows.select("rep", "label", "size", "vector", "planes", *more)
+    rows = rows.select("rep", "label", "size", F.col("vector").alias("_vector"), "planes", F.col(kept).alias("_kept"))
 
     def hashed(batches):
         for batch in batches:
-            stored = batch.column("vector").to_pylist()
+            x = batch.column("_vector").to_pylist()
             sizes = np.array(batch.column("size").to_pylist())
             planes_of = np.array(batch.column("planes").to_pylist())
-            vector = batch.column("vector")
-            if more:
-                half = [b""] * len(stored)
-                for size in np.unique(sizes):
-                    own = np.flatnonzero(sizes == size)
-                    for i, x in zip(own, _unit([stored[i] for i in own], np.float16), strict=True):
-                        half[i] = x.tobytes()
-                vector = pa.array(half, pa.binary())
-            for t in tables:
-                side = np.zeros(len(stored), np.int64)
-                for size in np.unique(sizes):
+            number = {n: tables(n) for n in np.unique(planes_of).tolist()}
+            needed = np.array([number[n] for n in planes_of.tolist()])
+            units = {size: _unit([x[i] for i in np.flatnonzero(sizes == size)]) for size in np.unique(sizes).tolist()}
+            for t in range(first, first + int(needed.max(initial=0))):
+                side = np.zeros(len(x), np.int64)
+                for size, unit in units.items():
                     own = np.flatnonzero(sizes == size)
                     most = int(planes_of[own].max())
-                    normals = np.random.default_rng([t, int(size)]).normal(size=(int(size), max(most, 1)))
-                    above = _unit([stored[i] for i in own]) @ normals > 0
+                    normals = np.random.default_rng([t, size]).normal(size=(size, max(most, 1)))
                     use = np.arange(max(most, 1))[None, :] < planes_of[own][:, None]
-                    side[own] = (above & use) @ (1 << np.arange(max(most, 1), dtype=np.int64))
+                    side[own] = ((unit @ normals > 0) & use) @ (1 << np.arange(max(most, 1), dtype=np.int64))
                 yield pa.record_batch(
-                    [batch["rep"], batch["label"], batch["size"], vector,
-                     pa.array(np.full(len(stored), t, np.int32)), pa.array(side), *[batch[c] for c in more]],
-                    ["rep", "label", "size", "vector", "t", "side", *more],
-                )
+                    [batch["rep"], batch["label"], batch["size"], pa.array(np.full(len(x), t, np.int32)), pa.array(side),
+                     batch["_kept"]],
+                    ["rep", "label", "size", "t", "side", kept],
+                ).filter(pa.array(needed > t - first))
+
+    return rows.mapInArrow(hashed, f"rep long, label string, size int, t int, side long, {keep}")
+
+
+def _half(classes: DataFrame) -> DataFrame:
+    """``half_of, vector``: unit vectors in half precision."""
+
+    def rows(batches):
+        for batch in batches:
+            stored = batch.column("vector").to_pylist()
+            half = [_unit([v], np.float16)[0].tobytes() for v in stored]
+            yield pa.record_batch([batch["rep"], pa.array(half, pa.binary())], ["half_of", "vector"])
 
-    return rows.mapInArrow(hashed, "rep long, label string, size int, vector binary, t int, side long" + (columns and ", " + columns))
+    return classes.select("rep", "vector").mapInArrow(rows, "half_of long, vector binary")
 
 
-def _start(classes: DataFrame, tables: range) -> DataFrame:
+def _start(classes: DataFrame, first: int) -> DataFrame:
     """Neighbours inside blocks of vectors on the same sides of random planes, for each table of planes."""
-    placed = _hashed(classes, tables, BLOCK_ROWS // 2)
+    placed = _hashed(classes, first, lambda _: TABLES, BLOCK_ROWS // 2, "vector binary")
     crowd = placed.groupBy("t", "label", "size", "side").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
     key = ["t", "label", "size", "side"]
     placed = placed.join(crowd, key).withColumn("block", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")))
@@ -204,8 +219,9 @@ def descend(lists: DataFrame, classes: DataFrame, threshold: float, rounds: int
     return lists
 
 
-def _across(classes: DataFrame, groups: DataFrame, threshold: float, tables: range) -> DataFrame:
-    """``a, b``: links between groups, from all pairs of different groups that share a cell in one of the tables.
+def _across(classes: DataFrame, groups: DataFrame, threshold: float, first: int) -> DataFrame:
+    """``a, b``: links between groups, from all pairs of different groups that share a cell in one of the tables,
+    which are as many as the planes of a label need.
 
     A vector in no group is one of its own. A cell is compared in blocks, each with each other one; a group with more
     rows there than a block has blocks of its own, which aren't compared among each other. Of a pair of blocks the links are those that
@@ -216,7 +232,7 @@ def _across(classes: DataFrame, groups: DataFrame, threshold: float, tables: ran
         "rep", "label", "size", "vector", F.coalesce("component", "rep").alias("family")
     )
     cell = ["t", "label", "size", "side"]
-    placed = written(_hashed(rows, tables, CELL_ROWS, "family long"), "cells")
+    placed = written(_hashed(rows, first, lambda planes: tables_for(planes, threshold), CELL_ROWS, "family long"), "cells")
     own = placed.groupBy(*cell, "family").agg(F.count(F.lit(1)).alias("rows"))
     own = own.withColumn("big", F.when(F.col("rows") > CROSS_ROWS, F.col("family")))
     crowd = own.groupBy(*cell, "big").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("families"))
@@ -241,6 +257,7 @@ def _across(classes: DataFrame, groups: DataFrame, threshold: float, tables: ran
     spread = spread.withColumn("other", F.explode(others))
     spread = spread.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     key = (*cell, "left", "right")
+    spread = spread.select(*key, "block", "family", "rep").join(written(_half(classes), "halves"), F.col("rep") == F.col("half_of"))
     spread = spread.select(*key, "block", "family", "vector").repartition(*key).sortWithinPartitions(*key)
 
     def links(batches):
@@ -311,11 +328,11 @@ def _in_groups(classes: DataFrame, groups: DataFrame, threshold: float) -> DataF
     return rows.mapInArrow(links, "rep long, links long, root long")
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded set of vectors that was found, against a comparison with all."""
+def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> int:
+    """Vectors of a bounded set that lack a link, against a comparison with all; a vector with many counts like one with few."""
     asked = classes.orderBy(F.xxhash64("rep", F.lit(13)), "rep").limit(AUDIT_ROWS).select("rep", "label", "size", "vector").collect()
     if not asked:
-        return 1.0
+        return 0
     groups: dict[tuple, list] = {}
     for row in asked:
         groups.setdefault((row["label"], row["size"]), []).append(row)
@@ -333,7 +350,7 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
                     places.setdefault(k, []).append(i)
             for k, own in places.items():
                 ids, x = asked_of[k]
-                linked = x @ _unit([stored[i] for i in own], np.float64).T >= threshold
+                linked = x @ _unit([stored[i] for i in own], np.float64).T >= threshold + ROUNDING
                 linked &= ids[:, None] != reps[own][None, :]
                 for i, n in zip(ids.tolist(), (linked @ copies[own]).tolist(), strict=True):
                     total[i] = total.get(i, 0) + n
@@ -341,8 +358,8 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> float:
 
     true = classes.select("rep", "label", "size", "vector", "copies").mapInArrow(counts, "rep long, true long")
     true = true.groupBy("rep").agg(F.sum("true").alias("true"))
-    both = true.join(found.select("rep", "links"), "rep", "left").agg(F.sum("true"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return (both[1] or 0) / both[0] if both[0] else 1.0
+    both = true.join(found.select("rep", "links"), "rep", "left")
+    return both.filter(F.col("true") > F.coalesce("links", F.lit(0))).count()
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -353,20 +370,25 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")
     )
     classes = written(classes, "classes")
-    lists = None
+    lists = across = None
     for audit in range(AUDITS):
-        tables = range(audit * TABLES, (audit + 1) * TABLES)
-        fresh = _start(classes, tables)
+        fresh = _start(classes, audit * TABLES)
         lists = written(_lists(fresh if lists is None else lists.union(fresh)), "lists")
         lists = descend(lists, classes, threshold)
         near = lists.filter((F.col("similarity") >= threshold - SLACK) & (F.col("u") != F.col("v")))
         near = near.select(F.col("u").alias("a"), F.col("v").alias("b"))
-        across = written(_across(classes, components(near), threshold, tables), "across")
-        groups = components(near.union(across))
+        near = near if across is None else near.union(across)
+        # Tables of their own for each repeat.
+        more = written(_across(classes, components(near), threshold, audit << 20), "across")
+        across = more if across is None else across.union(more)
+        groups = components(near.union(more))
         inside = written(_in_groups(classes, groups, threshold), "inside")
         found = written(inside.groupBy("rep").agg(F.sum("links").alias("links")), "found")
-        if _audit(classes, found, threshold) >= AUDIT_SHARE:
+        missing = _audit(classes, found, threshold)
+        if not missing:
             break
+    else:
+        raise RuntimeError(f"{missing} of {AUDIT_ROWS} audited vectors lack links after {AUDITS} rounds of tables")
     joined = components(inside.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     verdict = classes.join(found, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(
         *same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

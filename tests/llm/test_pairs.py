@@ -174,3 +174,24 @@ def test_families_of_families_of_vectors(shipped):
             rows += [(len(rows) + k, (own + random.normal(0, 0.01, 64)).astype("f4").tolist(), label) for k in range(20)]
     assert sum(links > 19 for _, links, _ in vectors_wanted(rows)) > len(rows) / 2
     check_vectors(shipped, rows)
+
+
+def test_tables_grow_with_the_planes():
+    for planes in range(25):
+        shared = (1 - np.arccos(0.93) / np.pi) ** planes
+        assert (1 - shared) ** nn_descent.tables_for(planes, 0.93) <= 1e-4
+    assert nn_descent.tables_for(0, 0.93) == 1
+
+
+def test_audit_sees_a_lost_pair_beside_a_hot_group(shipped, monkeypatch):
+    random = np.random.default_rng(12)
+    centre, lone = random.normal(size=(2, 24))
+    points = [centre + random.normal(0, 0.01, 24) for _ in range(100)] + [lone, lone + random.normal(0, 0.01, 24)]
+    rows = [(i, p.tolist(), 0) for i, p in enumerate(points)]
+    df = shipped.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.n_links for r in nn_descent.near_duplicates(df).collect()} == {1, 99}
+    in_groups = nn_descent._in_groups
+    lose = lambda classes, groups, threshold: in_groups(classes, groups.filter("node < 100"), threshold)
+    monkeypatch.setattr(nn_descent, "_in_groups", lose)
+    with pytest.raises(RuntimeError, match="2 of 256"):
+        nn_descent.near_duplicates(df)
