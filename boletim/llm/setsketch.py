@@ -13,8 +13,8 @@ that still hold several components are gone through, and only pairs across compo
 change the result. So a large group of near copies is not written out as pairs. A bucket is handled in blocks of
 bounded size, each block against each other one.
 
-Chance. At the threshold of 0.85 a pair meets in none of 22 bands of 5 registers once in 400,000; no cap or
-sample is involved.
+Chance. At the threshold of 0.85 a pair meets in none of 22 bands of 5 registers once in 400,000; for other thresholds the
+bands are chosen for the same chance. No cap or sample is involved.
 
 Edge cases: a null or empty text, or one of white space, has an empty set and is linked with nothing; a text of
 fewer than five words has its whole sequence as the only member; rows of equal id count as one document in links; a row
@@ -25,6 +25,7 @@ and ``text`` are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,19 +39,52 @@ from boletim.llm.words import PLACES, mix, split_words, window_hashes
 #: Words in a member; percent of the union that must be shared.
 WIDTH = 5
 PERCENT = 85
-BANDS, ROWS = 22, 5
-REGISTERS = BANDS * ROWS
 #: Base of the powers, rate of the exponential values and largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: Likeliest overlap from which a pair is compared, as a share; the estimate's deviation is about 0.03.
-LOOK_FROM = 0.70
-#: Equal registers from which the likelihood is worked out: six deviations below the mean at the threshold.
-LEAST_EQUAL = 70
 #: Documents and bytes of sets in a block.
 BLOCK_ROWS = 400
 BLOCK_BYTES = 8 << 20
 
-_MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+
+@dataclass(frozen=True)
+class Scheme:
+    """What a threshold in percent takes: bands of rows, and from where pairs are looked at closer."""
+
+    percent: int
+    bands: int
+    rows: int
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def deviation(self) -> float:
+        """Of the share of equal registers at the threshold."""
+        share = self.percent / 100
+        return float(np.sqrt(share * (1 - share) / self.registers))
+
+    @property
+    def least_equal(self) -> int:
+        """Equal registers from which the likelihood is worked out: six deviations below the mean at the threshold."""
+        return int(self.registers * (self.percent / 100 - 6 * self.deviation))
+
+    @property
+    def look_from(self) -> float:
+        """Likeliest overlap from which a pair is compared, as a share: four and a half deviations below the threshold."""
+        return self.percent / 100 - 4.5 * self.deviation
+
+
+def scheme(percent: int) -> Scheme:
+    """Bands in none of which a pair at the threshold meets once in 400,000 at most."""
+    rows = 5 if percent >= 85 else 4 if percent >= 80 else 3
+    return Scheme(percent, int(np.ceil(np.log(1 / 399_000) / np.log1p(-((percent / 100) ** rows)))), rows)
+
+
+_SCHEME = scheme(PERCENT)
+REGISTERS = _SCHEME.registers
+_MOST = 256
+_MULTIPLIERS = mix(np.arange(1, _MOST + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _GRID = np.linspace(0.4, 0.995, 60)
 
 
@@ -74,23 +108,23 @@ def sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def registers(members: np.ndarray) -> np.ndarray:
+def registers(members: np.ndarray, number: int = REGISTERS) -> np.ndarray:
     """Registers of a set that isn't empty."""
-    least = np.full(REGISTERS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    least = np.full(number, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(members), 512):
-        part = members[at : at + 512] * _MULTIPLIERS[:, None]
+        part = members[at : at + 512] * _MULTIPLIERS[:number, None]
         np.minimum(least, part.min(axis=1), out=least)
     value = -np.log1p(-np.minimum((least.astype(np.float64) + 1) / 2.0**64, 1 - 1e-16)) / RATE
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)) + 20_000, 0, TOP).astype(np.uint16)
 
 
-def band_hashes(sketches: np.ndarray) -> np.ndarray:
+def band_hashes(sketches: np.ndarray, own: Scheme = _SCHEME) -> np.ndarray:
     """A hash of each band, a row per sketch."""
-    parts = sketches.reshape(len(sketches), BANDS, ROWS).astype(np.uint64)
+    parts = sketches.reshape(len(sketches), own.bands, own.rows).astype(np.uint64)
     total = np.zeros(parts.shape[:2], np.uint64)
-    for k in range(ROWS):
+    for k in range(own.rows):
         total += (parts[:, :, k] + np.uint64(1)) * PLACES[k]
-    return mix(total + np.arange(BANDS, dtype=np.uint64) * PLACES[10]).view(np.int64)
+    return mix(total + np.arange(own.bands, dtype=np.uint64) * PLACES[10]).view(np.int64)
 
 
 def likeliest(greater: np.ndarray, equal: np.ndarray, smaller: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
@@ -112,7 +146,7 @@ def likeliest(greater: np.ndarray, equal: np.ndarray, smaller: np.ndarray, n: in
     return overlap[np.arange(len(others)), like.argmax(axis=1)]
 
 
-def sketch_documents(documents: DataFrame) -> DataFrame:
+def sketch_documents(documents: DataFrame, own: Scheme = _SCHEME) -> DataFrame:
     """``doc_id, n_shingles, key_a, key_b, registers``; equal sets have equal keys; an empty set has no registers."""
 
     def rows(batches):
@@ -124,7 +158,7 @@ def sketch_documents(documents: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(first, len(texts)).cast(pa.int64()), pa.array(n),
                      pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()),
                      pa.array([int(mix(s ^ PLACES[13]).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()),
-                     pa.array([registers(s).tobytes() if len(s) else None for s in found], pa.binary())],
+                     pa.array([registers(s, own.registers).tobytes() if len(s) else None for s in found], pa.binary())],
                     ["doc_id", "n_shingles", "key_a", "key_b", "registers"],
                 )
 
@@ -132,12 +166,12 @@ def sketch_documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, own: Scheme) -> DataFrame:
     def rows(batches):
         for batch in batches:
             if batch.num_rows:
                 sketches = np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint16)
-                hashes = band_hashes(sketches.reshape(-1, REGISTERS))
+                hashes = band_hashes(sketches.reshape(-1, own.registers), own)
                 yield pa.record_batch(
                     [batch["rep"], batch["n_shingles"], pa.array(list(hashes), pa.list_(pa.int64()))],
                     ["rep", "n_shingles", "hashes"],
@@ -183,7 +217,7 @@ class _Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def block_links(reps, components, sides, texts, sketches, both: bool) -> list[tuple[int, int]]:
+def block_links(reps, components, sides, texts, sketches, both: bool, own: Scheme = _SCHEME) -> list[tuple[int, int]]:
     """Links that join the components of a block's members: (smallest member, member) for each joined set.
 
     With ``both`` only pairs from different sides are looked at.
@@ -196,31 +230,31 @@ def block_links(reps, components, sides, texts, sketches, both: bool) -> list[tu
     found: list[tuple[float, int, int]] = []
     for i in range(len(reps) - 1):
         rest = np.arange(i + 1, len(reps))
-        near = (np.minimum(n[rest], n[i]) * 100 >= PERCENT * np.maximum(n[rest], n[i])) & (component[rest] != component[i])
+        near = (np.minimum(n[rest], n[i]) * 100 >= own.percent * np.maximum(n[rest], n[i])) & (component[rest] != component[i])
         if both:
             near &= side[rest] != side[i]
         rest = rest[near]
         if not len(rest):
             continue
         equal = (sketch[rest] == sketch[i]).sum(axis=1)
-        rest, equal = rest[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
+        rest, equal = rest[equal >= own.least_equal], equal[equal >= own.least_equal]
         if not len(rest):
             continue
         greater = (sketch[i] > sketch[rest]).sum(axis=1)
-        overlap = likeliest(greater, equal, REGISTERS - greater - equal, n[i], n[rest])
-        found += [(-overlap[k], i, int(rest[k])) for k in np.flatnonzero(overlap >= LOOK_FROM)]
+        overlap = likeliest(greater, equal, own.registers - greater - equal, n[i], n[rest])
+        found += [(-overlap[k], i, int(rest[k])) for k in np.flatnonzero(overlap >= own.look_from)]
     found.sort()
     for _, i, j in found:
         a, b = int(component[i]), int(component[j])
         if forest.root(a) == forest.root(b):
             continue
         shared = len(np.intersect1d(members[i], members[j], assume_unique=True))
-        if 100 * shared >= PERCENT * (n[i] + n[j] - shared):
+        if 100 * shared >= own.percent * (n[i] + n[j] - shared):
             forest.join(a, b)
     return sorted({(forest.root(int(c)), int(c)) for c in component if forest.root(int(c)) != int(c)})
 
 
-def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(members: DataFrame, texts: DataFrame, own: Scheme) -> DataFrame:
     """Links ``a, b`` between components, from the members ``bucket, blocks, rep, component`` of the buckets."""
     side = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")
     placed = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -235,11 +269,11 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         key, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                own = (row["bucket"], row["left"], row["right"])
-                if own != key and held:
+                place = (row["bucket"], row["left"], row["right"])
+                if place != key and held:
                     yield key[1] != key[2], held
                     held = []
-                key = own
+                key = place
                 held.append(row)
         if held:
             yield key[1] != key[2], held
@@ -248,7 +282,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
         for both, group in groups(batches):
             links = block_links(
                 [r["rep"] for r in group], [r["component"] for r in group], [r["side"] for r in group],
-                [(r["text"] or "").encode() for r in group], [r["registers"] for r in group], both,
+                [(r["text"] or "").encode() for r in group], [r["registers"] for r in group], both, own,
             )
             if links:
                 yield pa.record_batch(
@@ -258,14 +292,15 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(found, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every document."""
-    sketched = written(sketch_documents(documents), "sketches")
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every document; links share ``percent`` of the union or more."""
+    own = scheme(percent)
+    sketched = written(sketch_documents(documents, own), "sketches")
     classes = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
     )
     classes = written(classes, "classes")
-    bands = written(_bands(classes), "bands")
+    bands = written(_bands(classes, own), "bands")
     buckets = written(_buckets(bands), "buckets")
     members = written(bands.select("bucket", "rep").join(buckets, "bucket"), "members")
 
@@ -277,14 +312,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     texts = written(texts, "texts")
 
     home = texts.select("home.bucket", "home.blocks", "rep", F.col("rep").alias("component"))
-    first = written(_links(home, texts.select("rep", "text", "registers")), "first-links")
+    first = written(_links(home, texts.select("rep", "text", "registers"), own), "first-links")
     joined = components(first)
     labelled = members.join(joined, F.col("rep") == F.col("node"), "left").select(
         "bucket", "blocks", "rep", F.coalesce("component", "rep").alias("component")
     )
     several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = labelled.join(several.filter("low <> high").select("bucket"), "bucket", "left_semi")
-    second = _links(open_, texts.select("rep", "text", "registers"))
+    second = _links(open_, texts.select("rep", "text", "registers"), own)
     final = components(first.union(second))
 
     component = classes.select("key_a", "key_b", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
@@ -299,12 +334,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group, with all its columns: one row for each kept id, and every row without id.
 
     Of several rows with a kept id any one stays.
     """
-    kept = near_duplicates(documents).filter("kept AND doc_id IS NOT NULL")
+    kept = near_duplicates(documents, percent).filter("kept AND doc_id IS NOT NULL")
     own = fresh(documents, "kept_id")
     kept = written(kept.groupBy(F.col("doc_id").alias(own)).agg(F.count(F.lit(1)).alias("rows")), "kept")
     # Sorted and merged at every size: a broadcast at small sizes would hide what the shuffle of the texts takes.

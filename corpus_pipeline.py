@@ -8,6 +8,10 @@ from boletim.llm import chunk_reuse, compression_toxicity, factorisation, pfair_
 from boletim.llm.common import new_path, ship, table
 
 
+#: Percent of the union of their runs of five words from which documents are near duplicates here.
+NEAR = 80
+
+
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the compression distance doesn't hold toxic."""
     detector = compression_toxicity.fit_toxicity(docs, table(ship(spark), sf_dir, "labels"))
@@ -23,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     ship(spark)
-    return setsketch.one_of_each(docs)
+    return setsketch.one_of_each(docs, NEAR)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

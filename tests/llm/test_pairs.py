@@ -195,3 +195,19 @@ def test_audit_sees_a_lost_pair_beside_a_hot_group(shipped, monkeypatch):
     monkeypatch.setattr(nn_descent, "_in_groups", lose)
     with pytest.raises(RuntimeError, match="2 of 256"):
         nn_descent.near_duplicates(df)
+
+
+def test_the_pipeline_links_from_four_fifths(shipped):
+    import corpus_pipeline
+
+    random = np.random.default_rng(13)
+    rows = []
+    for n in range(0, 60, 2):
+        words = ["w%d" % k for k in random.integers(0, 10**6, 100)]
+        other = words[:-10] + ["x%d" % k for k in random.integers(0, 10**6, 10)]
+        rows += [(n, " ".join(words)), (n + 1, " ".join(other))]  # 86 of 106 runs are shared
+    docs = shipped.createDataFrame(rows, "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert sorted(r.doc_id for r in stage(shipped, docs, "").collect()) == list(range(0, 60, 2))
+    assert setsketch.one_of_each(docs).count() == 60
+    assert setsketch.scheme(85) == setsketch.Scheme(85, 22, 5)
