@@ -5,7 +5,8 @@ among their like) or a run of text at its path. Over the pages of a host each to
 page holds it. Tokens of equal vectors form an equivalence class; a class is valid if it has at least ``LEAST_TOKENS`` tokens
 (an element counts as two) and occurs in ``LEAST_SHARE`` of the pages. Paths put the elements of valid classes inside
 each other: the template of the host. Between its tokens lie the slots; the template is walked from the root into the
-container that holds most of the host's plain text until no container does, and what fills the slots below is the article.
+container that holds most of the host's plain text as long as no plain text but the template's own stays outside, to an article
+or main element at most, and what fills the slots below is the article.
 Page text inside menus, headers, footers, sidebars, notices, adverts, forms, comments and lists of links is no plain text. A run
 of text that the template fixes is left out where it stands outside paragraphs.
 
@@ -36,8 +37,6 @@ from boletim.llm.common import runs, written
 
 LEAST_TOKENS = 3
 LEAST_SHARE = 0.3
-#: A container is walked into if it holds this share of the plain text of the one around it.
-WALK_SHARE = 0.7
 #: A run of text is fixed by the template from this share of the pages, on hosts of this many different pages or more.
 FIXED_SHARE = 0.8
 FIXED_PAGES = 5
@@ -51,6 +50,7 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre address figure figcaption hr br th thead tfoot caption"
     " nav header footer aside form fieldset title head details summary".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td dd dt".split())
 #: A new one of the key ends an open one of the values.
 ENDS = {
@@ -199,14 +199,35 @@ class Page:
         marks = [f"{k}={_DIGITS.sub('0', v)}" for k, v in values if k != "role" and v]
         return " ".join([name, *marks]), hinted
 
-    def elements(self) -> dict[int, tuple[int, int, bool]]:
-        """Parent role, plain characters and whether it may be walked into, for each role of the page."""
-        out: dict[int, tuple[int, int, bool]] = {}
+    def elements(self) -> dict[int, tuple[int, int, int]]:
+        """Parent role, plain characters and kind, for each role of the page and the root.
+
+        Kind 2 is an element, 3 one that may be walked into, 4 one where the walk ends.
+        """
+        out: dict[int, tuple[int, int, int]] = {0: (0, self.nodes[0].plain, 2)}
         for node in self.nodes[1:]:
-            before = out.get(node.role, (0, 0, False))[1]
-            out[node.role] = (self.nodes[node.parent].role, before + node.plain, node.name in CONTAINERS and not node.outside)
+            before = out.get(node.role, (0, 0, 2))
+            kind = 2 if node.outside or node.name not in CONTAINERS else 4 if node.name in ("article", "main") else 3
+            out[node.role] = (self.nodes[node.parent].role, before[1] + node.plain, max(kind, before[2]))
         return out
 
+    def texts(self) -> dict[int, tuple[int, int, int]]:
+        """Role of the element, plain characters and number of each run of text; a heading's are never the template's."""
+        out: dict[int, tuple[int, int, int]] = {}
+        for run in self.runs:
+            if run.role:
+                node = self.nodes[run.node]
+                plain = 0 if node.outside or node.linked or self.headed(run.node) else len(run.text) - run.text.count(" ")
+                _, before, n = out.get(run.role, (0, 0, 0))
+                out[run.role] = (node.role, before + plain, n + 1)
+        return out
+
+    def headed(self, at: int) -> bool:
+        """Whether an element is or lies in a heading."""
+        while at > 0 and self.nodes[at].name not in HEADINGS:
+            at = self.nodes[at].parent
+        return at > 0
+
     def text(self, main: int | None, fixed: frozenset[int] = frozenset()) -> str:
         """Text of the elements of role ``main``; of the page's own main container if it has none."""
         nodes = self.nodes
@@ -237,19 +258,19 @@ class Page:
         return " ".join("".join(out).split())
 
 
-def walk(elements: dict[int, tuple[int, int, bool]]) -> int:
-    """Role of the container reached from the root by going into the one with most of the plain text; 0 is the root."""
+def walk(elements: dict[int, tuple[int, int, int]]) -> int:
+    """Role of the container reached from the root by going into the one with all of the plain text; 0 is the root."""
     below: dict[int, list[int]] = {}
-    for role, (parent, _, open_) in elements.items():
-        if open_:
+    for role, (parent, _, kind) in elements.items():
+        if role and kind > 2:
             below.setdefault(parent, []).append(role)
-    at, plain = 0, None
-    while at in below:
+    at = 0
+    while at in below and elements[at][2] < 4:
         best = max(below[at], key=lambda role: (elements[role][1], -role))
         size = elements[best][1]
-        if not size or (plain is not None and size < WALK_SHARE * plain):
+        if not size or size < elements[at][1]:
             break
-        at, plain = best, size
+        at = best
     return at
 
 
@@ -264,7 +285,7 @@ def _signed(value: int) -> int:
 def occurrences(pages: DataFrame) -> DataFrame:
     """``host, role, parent, kind, vector, pages, total, plain``: each token of each host with its vector's digest.
 
-    Kind 0 is the page itself, 1 a text, 2 an element, 3 an element that may be walked into. ``pages`` has ``host, html``.
+    Kind 0 is the page itself, 1 a text, 2 an element, 3 an element that may be walked into, 4 one where the walk ends. ``pages`` has ``host, html``.
     """
 
     def tokens(batches):
@@ -274,12 +295,11 @@ def occurrences(pages: DataFrame) -> DataFrame:
             for host, number, source in zip(hosts, ids, sources, strict=True):
                 page = Page(source or "")
                 counts = Counter(node.role for node in page.nodes)
-                texts = Counter(run.role for run in page.runs if run.role)
                 elements = page.elements()
                 mark = _hash(str(number), 1)
-                rows = [(role, 0, 0, n, 0) for role, n in counts.items() if not role]
-                rows += [(role, elements[role][0], 2 + elements[role][2], n, elements[role][1]) for role, n in counts.items() if role]
-                rows += [(role, 0, 1, n, 0) for role, n in texts.items()]
+                rows = [(role, 0, 0, n, elements[0][1]) for role, n in counts.items() if not role]
+                rows += [(role, elements[role][0], elements[role][2], n, elements[role][1]) for role, n in counts.items() if role]
+                rows += [(role, parent, 1, n, plain) for role, (parent, plain, n) in page.texts().items()]
                 for role, parent, kind, n, plain in rows:
                     digest = (mark ^ n * 0x9E3779B97F4A7C15) & _SIGN
                     held = found.setdefault((host, role, kind), [parent, 0, 0, 0, 0])
@@ -305,26 +325,35 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 def deduce(tokens: DataFrame, different: DataFrame) -> DataFrame:
     """``host, main, fixed``: the main container and the fixed texts of each host's template."""
-    hosts = tokens.filter("kind = 0").select("host", F.col("pages").alias("all")).join(different, "host")
+    hosts = tokens.filter("kind = 0").select("host", F.col("pages").alias("all"), F.col("plain").alias("whole")).join(different, "host")
     common = tokens.filter("kind > 0").join(hosts, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("all"))
     common = written(common, "tokens")
     vector = ["host", "vector", "pages", "total"]
     classes = common.groupBy(*vector).agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(2)).alias("size"))
     valid = common.join(classes.filter(F.col("size") >= LEAST_TOKENS), vector)
-    rows = valid.select("host", "role", "parent", "kind", "pages", "all", "different", "plain")
+    rows = valid.select("host", "role", "parent", "kind", "pages", "all", "whole", "different", "plain")
     rows = rows.repartition("host").sortWithinPartitions("host")
 
     def nested(batches):
         for (host,), rows in runs(batches, ("host",)):
-            elements, fixed = {}, []
+            elements, fixed, own = {0: (0, rows["whole"][0], 2)}, [], []
             for role, parent, kind, n, every, different, plain in zip(
                 *(rows[c] for c in ("role", "parent", "kind", "pages", "all", "different", "plain")), strict=True
             ):
                 if kind == 1:
                     if different >= FIXED_PAGES and n >= FIXED_SHARE * every:
                         fixed.append(role)
-                else:
-                    elements[role] = (parent, plain, kind == 3)
+                        own.append((parent, plain))
+                else:  # an element may be outside on some pages only
+                    _, before, other = elements.get(role, (0, 0, 2))
+                    elements[role] = (parent, plain + before, max(kind, other))
+            for at, plain in own:  # the template's own text is no reason to stay
+                above = []
+                while at in elements and at:
+                    above.append(at)
+                    at = elements[at][0]
+                for role in [*above, 0] if not at else []:
+                    elements[role] = (elements[role][0], elements[role][1] - plain, elements[role][2])
             yield pa.record_batch(
                 [pa.array([host]), pa.array([walk(elements)], pa.int64()), pa.array([fixed], pa.list_(pa.int64()))],
                 ["host", "main", "fixed"],

@@ -84,3 +84,20 @@ def test_given_pages(shipped, small):
         inside = re.search(r"<article>(.*)</article>", source, re.S)[1]
         plain = re.sub(r"</?b>", "", re.sub(r"<(?:/?(?:p|h1)|br)>", " ", inside))
         assert found[id_] == " ".join(html.unescape(plain).split())
+
+
+def extracted(spark, sources, host="one.example"):
+    rows = [(n, f"https://{host}/{n}", source) for n, source in enumerate(sources)]
+    found = templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(found, key=lambda r: r.page_id)]
+
+
+def test_nothing_around_the_longest_part_is_lost(shipped):
+    long = [" ".join(f"t{n}x{k}" for k in range(200)) for n in range(8)]
+    article = "<html><body><article><h1>Head {0}</h1><p>intro {1}</p><div class='body'><p>{1}</p></div></article></body></html>"
+    made = [article.format(n, t) for n, t in enumerate(long)]
+    assert extracted(shipped, made) == [f"Head {n} intro {t} {t}" for n, t in enumerate(long)]
+    assert extracted(shipped, made[:1]) == [f"Head 0 intro {long[0]} {long[0]}"]
+    assert extracted(shipped, [f"<p>{long[0]}</p><div>few words</div>"]) == [f"{long[0]} few words"]
+    table = f"<body><div id=a><p>before</p><table><tr><td>{long[0]}</td></tr></table><p>after</p></div></body>"
+    assert extracted(shipped, [table]) == [f"before {long[0]} after"]
