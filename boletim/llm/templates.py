@@ -7,7 +7,8 @@ page holds it. Tokens of equal vectors form an equivalence class; a class is val
 each other: the template of the host. Between its tokens lie the slots; the template is walked from the root into the
 container that holds most of the host's plain text as long as no plain text but the template's own stays outside, to an article
 or main element at most, and what fills the slots below is the article.
-Page text inside menus, headers, footers, sidebars, notices, adverts, forms, comments and lists of links is no plain text. A run
+Page text inside menus, headers, footers, sidebars, notices, adverts, forms, comments and lists of links is no plain text. A
+class, id or role says so, unless the container holds a main element, an article or most of the page's text. A run
 of text that the template fixes is left out where it stands outside paragraphs.
 
 Vectors are never built. Each token carries the exclusive or of a hash of (page, count) over its pages with its numbers of
@@ -75,6 +76,10 @@ HINTS = frozenset(
     " search skip toc copyright".split()
 )
 
+#: Words that hold whatever is below, and elements that an article or main element may stand in.
+COMMENTS = frozenset("comment comments reply replies discussion disqus respond".split())
+AROUND = frozenset("form header".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -100,6 +105,7 @@ class Node:
     name: str
     outside: bool
     linked: bool
+    hint: int = 0
     chars: int = 0
     link_chars: int = 0
     plain: int = 0
@@ -121,6 +127,7 @@ class Page:
         self.nodes = [Node(0, -1, "#root", False, False)]
         self.runs: list[Run] = []
         self._parse(source)
+        self._mark()
         for node in reversed(self.nodes[1:]):  # children stand after their parents
             above = self.nodes[node.parent]
             above.chars += node.chars
@@ -139,7 +146,7 @@ class Page:
                     node.chars += size
                     if node.linked:
                         node.link_chars += size
-                    elif not node.outside:
+                    else:
                         node.plain += size
                 self.runs.append(Run(at, text, 0, breaks))
                 breaks = False
@@ -159,15 +166,14 @@ class Page:
                 continue
             self._imply_ends(stack, name)
             parent = nodes[stack[-1]]
-            label, hinted = self._label(name, token["rest"])
+            label, hint = self._label(name, token["rest"])
             if name in CONTAINERS and label == name:
                 parent.seen[name] += 1
                 label = f"{name}[{parent.seen[name]}]"
             nodes.append(
                 Node(
-                    _hash(label, parent.role), stack[-1], name,
-                    parent.outside or name in OUTSIDE or (hinted and name not in ("html", "body", "article", "main")),
-                    parent.linked or name == "a",
+                    _hash(label, parent.role), stack[-1], name, name in OUTSIDE, parent.linked or name == "a",
+                    0 if name in ("html", "body", "article", "main") else hint,
                 )
             )
             if not token["rest"].endswith("/"):
@@ -177,6 +183,40 @@ class Page:
                 shape = _DIGITS.sub("0", " ".join(run.text.split()))
                 run.role = _hash("#" + shape, nodes[run.node].role)
 
+    def _mark(self) -> None:
+        """Set what is outside, by elements and hints and what is below them; characters there are no plain ones."""
+        nodes = self.nodes
+        # Text and articles below each element, those in comments and elements that are always outside left out.
+        shut = [False]
+        for node in nodes[1:]:
+            shut.append(shut[node.parent] or node.hint == 3 or (node.outside and node.name not in AROUND))
+        text = [0 if s else node.plain for node, s in zip(nodes, shut, strict=True)]
+        mains, articles = [0] * len(nodes), [0] * len(nodes)
+        for i in range(len(nodes) - 1, 0, -1):
+            up, own = nodes[i].parent, not shut[i]
+            mains[i] += own and nodes[i].name == "main"
+            articles[i] += own and nodes[i].name == "article"
+            text[up] += text[i]
+            mains[up] += mains[i]
+            articles[up] += articles[i]
+        closed = [False]
+        for i, node in enumerate(nodes[1:], 1):
+            around = closed[node.parent]
+            if node.name in ("article", "main") and not shut[i] and not around:
+                node.outside = False
+                closed.append(False)
+                continue
+            # A name of such words only, as of an advert longer than the article, gives way if the page has no article elsewhere.
+            most = 2 * text[i] > text[0] and (node.hint == 1 or not (mains[0] or articles[0]))
+            kept = mains[i] or most or (articles[i] and (node.hint == 1 or articles[i] == articles[0]))
+            hinted = node.hint == 3 or (node.hint and not kept)
+            # A form or header can be left for an article in it, a hinted container that is outside can't.
+            closed.append(around or bool(hinted) or shut[i])
+            node.outside = node.outside or bool(hinted) or nodes[node.parent].outside
+        for node in nodes:
+            if node.outside:
+                node.plain = 0
+
     def _imply_ends(self, stack: list[int], name: str) -> None:
         nodes = self.nodes
         ends = ENDS.get(name, set()) | ({"p"} if name in ENDS_P else set())
@@ -190,14 +230,20 @@ class Page:
                 return
 
     @staticmethod
-    def _label(name: str, rest: str) -> tuple[str, bool]:
-        """Name with class and id, digits aside; whether these or the role hint at something beside the article."""
+    def _label(name: str, rest: str) -> tuple[str, int]:
+        """Name with class and id, digits aside; whether these or the role hint at something beside the article.
+
+        The hint is 0 for none, 1 for one word among others, 2 for a name of such words only, 3 for comments.
+        """
         if "=" not in rest:
-            return name, False
+            return name, 0
         values = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in _NAMED.finditer(rest)]
-        hinted = any(not HINTS.isdisjoint(_WORDS.findall(v)) for _, v in values)
+        hint = 0
+        for words in (_WORDS.findall(part) for _, v in values for part in v.split()):
+            if words and not HINTS.isdisjoint(words):
+                hint = max(hint, 1 if not HINTS.issuperset(words) else 2 if COMMENTS.isdisjoint(words) else 3)
         marks = [f"{k}={_DIGITS.sub('0', v)}" for k, v in values if k != "role" and v]
-        return " ".join([name, *marks]), hinted
+        return " ".join([name, *marks]), hint
 
     def elements(self) -> dict[int, tuple[int, int, int]]:
         """Parent role, plain characters and kind, for each role of the page and the root.

@@ -101,3 +101,15 @@ def test_nothing_around_the_longest_part_is_lost(shipped):
     assert extracted(shipped, [f"<p>{long[0]}</p><div>few words</div>"]) == [f"{long[0]} few words"]
     table = f"<body><div id=a><p>before</p><table><tr><td>{long[0]}</td></tr></table><p>after</p></div></body>"
     assert extracted(shipped, [table]) == [f"before {long[0]} after"]
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "page-with-sidebar", "has-ads", "side-by-side", "search widget"])
+def test_a_hint_around_the_article_says_nothing(shipped, name):
+    text = " ".join(f"t{k}" for k in range(60))
+    inside = "<{0}><h1>Head</h1><p>{1}</p></{0}><div class='sidebar'><p>aside</p></div><section class='comments'><article><p>{2}</p></article></section>"
+    made = [
+        f"<body><div class='{name}'>{inside.format(element, text, 'no ' * 300)}</div><div class='related'><p>other</p></div></body>"
+        for element in ("article", "main", "div")
+    ] + [f"<body><form class='{name}'>{inside.format('article', text, 'no')}</form></body>"]
+    for source in made:
+        assert extracted(shipped, [source]) == [f"Head {text}"]
