@@ -9,7 +9,8 @@ container that holds most of the host's plain text as long as no plain text but
 or main element at most, and what fills the slots below is the article.
 Page text inside menus, headers, footers, sidebars, notices, adverts, forms, comments and lists of links is no plain text. A
 class, id or role says so, unless the container holds a main element, an article or most of the page's text. A run
-of text that the template fixes is left out where it stands outside paragraphs.
+of text that the template fixes is left out where neither its element nor one around it, up to the main container, is a paragraph;
+this takes a host of ``FIXED_PAGES`` different pages, so such text may leave a page's result when its host grows.
 
 Vectors are never built. Each token carries the exclusive or of a hash of (page, count) over its pages with its numbers of
 pages and occurrences, which are equal for equal vectors and can be added up in any order, so a hot host is reduced before
@@ -279,9 +280,10 @@ class Page:
         nodes = self.nodes
         if not any(node.role == main for node in nodes[1:]):
             main = walk(self.elements())
-        inside, drop = [main == 0], [False]
+        inside, drop, paragraph = [main == 0], [False], [False]
         for node in nodes[1:]:
             inside.append(inside[node.parent] or node.role == main)
+            paragraph.append(node.name in PARAGRAPHS or (inside[node.parent] and paragraph[node.parent]))
             listing = (
                 node.name in ("ul", "ol", "div", "section", "table")
                 and node.role != main
@@ -297,7 +299,7 @@ class Page:
             if not inside[run.node] or drop[run.node] or node.outside:
                 broken = True
                 continue
-            if run.role in fixed and node.name not in PARAGRAPHS:
+            if run.role in fixed and not paragraph[run.node]:
                 continue
             out.append(" " + run.text if broken else run.text)
             broken = False

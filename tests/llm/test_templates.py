@@ -113,3 +113,11 @@ def test_a_hint_around_the_article_says_nothing(shipped, name):
     ] + [f"<body><form class='{name}'>{inside.format('article', text, 'no')}</form></body>"]
     for source in made:
         assert extracted(shipped, [source]) == [f"Head {text}"]
+
+
+def test_shared_words_inside_a_paragraph_stay(shipped):
+    made = [
+        f"<body><article><p><strong>Summary:</strong> s{c} <b>{n} %</b> <em>of <i>all</i></em> t{c}</p><div>Follow us</div></article></body>"
+        for n, c in enumerate("abcdefghijkl")
+    ]
+    assert extracted(shipped, made) == [f"Summary: s{c} {n} % of all t{c}" for n, c in enumerate("abcdefghijkl")]
