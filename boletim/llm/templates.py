@@ -83,7 +83,7 @@ AROUND = frozenset("form header".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?!svg\b[^>]*/>)(?P<raw>script|style|noscript|template|iframe|textarea|svg)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[/!?a-zA-Z][^>]*+>"
     r"|(?P<text>[^<]+|<)",

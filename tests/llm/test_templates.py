@@ -121,3 +121,9 @@ def test_shared_words_inside_a_paragraph_stay(shipped):
         for n, c in enumerate("abcdefghijkl")
     ]
     assert extracted(shipped, made) == [f"Summary: s{c} {n} % of all t{c}" for n, c in enumerate("abcdefghijkl")]
+
+
+@pytest.mark.parametrize("odd", ["<svg class='x' />", "<svg-icon name='a'></svg-icon>", "<template-x></template-x>"])
+def test_an_icon_takes_no_text(odd):
+    assert templates.Page(f"<body>{odd}<article><p>text</p></article></body>").text(None) == "text"
+    assert templates.Page("<body><svg><text>no</text></svg><article><p>text</p></article></body>").text(None) == "text"
