@@ -14,8 +14,11 @@ from boletim.llm import (
     factorisation,
     kd_shards,
     nn_descent,
+    periodic_runs,
     pfair_mix,
+    prefix_trie,
     ranked_varint,
+    repeated_windows,
     setsketch,
     templates,
 )
@@ -77,6 +80,18 @@ def op10_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def _query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: build(ship(spark), sf_dir)
 
@@ -94,7 +109,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_setsketch_dedup,
         op9_compression_toxicity,
         op10_nn_descent_dedup,
+        op11_repeated_windows,
+        op12_periodic_runs,
+        op13_conversation_trie,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_pfair_mix": pfair_mix.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_pfair_mix": pfair_mix.ORACLE_SQL,
+    "op11_repeated_windows": repeated_windows.ORACLE_SQL,
+    "op13_conversation_trie": prefix_trie.ORACLE_SQL,
+}

@@ -109,6 +109,17 @@ def window_hashes(words: Words, hashes: np.ndarray, width: int) -> tuple[np.ndar
     return mix(total[inside]), inside
 
 
+def rolling_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hash of every run of ``width`` hashes, from running sums; runs may reach over texts."""
+    n = len(hashes)
+    if n < width:
+        return np.zeros(0, _U)
+    up, down = _powers(n)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(hashes * up[:n], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+
+
 def keyed(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Hashes that differ between texts."""
     return mix(hashes + (text.astype(_U) + _U(1)) * PLACES[15])

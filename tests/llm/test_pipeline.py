@@ -37,7 +37,7 @@ def test_stages(shipped, stages):
     assert ids(calm) == ids(compression_toxicity.score(docs, detector).filter("predicted = 0"))
     machine = factorisation.fit_quality(calm, labels)
     assert ids(good) == ids(factorisation.score(calm, machine).filter("predicted = 1"))
-    assert ids(single) == ids(setsketch.near_duplicates(good).filter("kept"))
+    assert ids(single) == ids(setsketch.near_duplicates(good, corpus_pipeline.NEAR).filter("kept"))
     assert ids(mix) == ids(single) == ids(tokens)
     assert 0 < single.count() < good.count() < calm.count() < docs.count()
     toxic = calm.join(labels, "doc_id").agg({"toxic": "avg"}).first()[0]

@@ -1,0 +1,216 @@
+"""Repeated windows and periodic runs against plain versions on small texts and on the given documents."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from boletim.llm import periodic_runs, repeated_windows
+from boletim.llm.words import split_words
+
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+# Repeated windows
+
+
+def plain_removed(docs, width):
+    """Places of the words that each row gives up; rows are (id, text)."""
+    first = {}
+    for i, text in docs:
+        w = words_of(text)
+        for k in range(len(w) - width + 1) if i is not None else ():
+            key = tuple(w[k : k + width])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, text in docs:
+        w, gone = words_of(text), set()
+        for k in range(len(w) - width + 1) if i is not None else ():
+            if first[tuple(w[k : k + width])] < i:
+                gone.update(range(k, k + width))
+        out.append((i, len(w), tuple(sorted(gone)), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def removed(df, width):
+    rows = []
+    for r in repeated_windows.remove_repeats(df, width).collect():
+        spans = [(s.start, s.end) for s in r.removed]
+        # Maximal: in order, apart from each other, none empty.
+        assert all(a < b for a, b in spans) and all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+        rows.append((r.doc_id, r.n_words, tuple(k for a, b in spans for k in range(a, b)), r.kept))
+    return sorted(rows, key=repr)
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t, 1.0, b"x") for i, t in docs], "doc_id long, text string, keys double, bucket binary")
+
+
+def test_windows_equal_a_plain_search(shipped):
+    random = np.random.default_rng(5)
+    docs = [(int(i), " ".join(random.choice(list("abc"), random.integers(0, 40)))) for i in random.integers(0, 60, 150)]
+    # One passage in a third of all rows, shifted; a text in many copies; tabs and line feeds between words.
+    passage = " ".join(random.choice(list("defg"), 12))
+    docs += [(100 + i, f"{'x ' * (i % 7)}{passage}\t{i}\n{i} {passage}") for i in range(80)]
+    docs += [(5, docs[0][1]), (5, docs[0][1]), (None, passage), (7, None), (8, ""), (-3, "a b c a b c a b c")]
+    docs += [(1 << 40, passage), (9, "é " * 30), (10, "é " * 30)]
+    for width in (4, 9):
+        assert removed(frame(shipped, docs).repartition(5), width) == plain_removed(docs, width)
+
+
+def test_stretches_and_partitions_do_not_matter(shipped, monkeypatch):
+    docs = [(i, " ".join(f"w{(i // 3 * 5 + k) % 40}" for k in range(30))) for i in range(60)]
+    monkeypatch.setattr(repeated_windows, "PARTITION_BYTES", 100)
+    for parts in (1, 7):
+        assert removed(frame(shipped, docs).repartition(parts), 6) == plain_removed(docs, 6)
+
+
+def test_reduction_keeps_every_loss():
+    random = np.random.default_rng(6)
+    one, two = random.integers(0, 40, 500).astype(np.uint64), random.integers(0, 3, 500).astype(np.uint64)
+    doc = random.integers(0, 20, 500)
+    lost, repeated = repeated_windows._shared(one, two, doc)
+    first = {}
+    for a, b, d in zip(one, two, doc, strict=True):
+        first[a, b] = min(first.get((a, b), d), d)
+    wanted = {(a, b, d) for a, b, d in zip(one, two, doc, strict=True) if d > first[a, b]}
+    assert {(one[i], two[i], doc[i]) for i in lost} == wanted and len(lost) == len(wanted)
+    kept = np.setdiff1d(np.arange(500), repeated)
+    assert sorted((one[i], two[i], doc[i]) for i in kept) == sorted((a, b, d) for (a, b), d in first.items())
+
+
+def test_rolling_hashes_equal_where_windows_are():
+    w = split_words([b"a b c a b c a", b"b c a", b"", b"a b"])
+    one, two, at = repeated_windows.window_keys(w, 3)
+    plain = [tuple(t[i : i + 3]) for t in ("abcabca", "bca") for i in range(len(t) - 2)]
+    assert at.tolist() == [0, 1, 2, 3, 4, 7]
+    for keys in (one, two):
+        assert [[a == b for b in keys.tolist()] for a in keys.tolist()] == [[a == b for b in plain] for a in plain]
+
+
+def test_windows_of_odd_tables(shipped):
+    none = frame(shipped, [])
+    assert repeated_windows.digests(none).collect() == []
+    odd = frame(shipped, [(None, None), (None, "a " * 60), (1, "a " * 49), (2, "a " * 50), (3, "a " * 51 + "b"), (4, "x" * 300_000)])
+    rows = {(r.doc_id, r.n_words): r for r in repeated_windows.digests(odd).collect()}
+    assert rows[None, 0].kept_sha256 == sha("") and rows[None, 60].n_removed == 0
+    assert rows[1, 49].n_removed == 0 and rows[2, 50].n_removed == 0
+    assert rows[3, 52].n_removed == 51 and rows[3, 52].kept_sha256 == sha("b")
+    assert rows[4, 1].kept_sha256 == sha("x" * 300_000)
+
+
+# Periodic runs
+
+
+def plain_runs(w, periods=4, least=6):
+    n, best = len(w), {}
+    for p in range(1, n // periods + 1):
+        k = 0
+        while k + p < n:
+            if w[k] != w[k + p]:
+                k += 1
+                continue
+            start = k
+            while k + p < n and w[k] == w[k + p]:
+                k += 1
+            length = k + p - start
+            if length >= max(least, periods * p):
+                best.setdefault((start, length), p)  # the smallest period comes first
+    return sorted((s, p, n) for (s, n), p in best.items())
+
+
+def runs_of(texts, periods=4, least=6):
+    w = split_words([t.encode() for t in texts])
+    out = [[] for _ in texts]
+    for i, s, n, p in periodic_runs.runs_in(w, periods, least).tolist():
+        out[i].append((s, p, n))
+    return out
+
+
+PIECE = st.tuples(st.lists(st.sampled_from("ab"), min_size=1, max_size=5), st.integers(1, 9)).map(lambda x: x[0] * x[1])
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(st.lists(st.one_of(PIECE, st.lists(st.sampled_from("abc"), max_size=6)), max_size=7), max_size=5))
+def test_runs_equal_a_plain_search(parts):
+    texts = [" ".join(x for piece in text for x in piece) for text in parts]
+    assert runs_of(texts) == [plain_runs(t.split()) for t in texts]
+    assert runs_of(texts, 2, 2) == [plain_runs(t.split(), 2, 2) for t in texts]
+    assert runs_of(texts, 3, 9) == [plain_runs(t.split(), 3, 9) for t in texts]
+
+
+def test_suffixes_are_in_order():
+    random = np.random.default_rng(7)
+    for n, kinds in ((1, 1), (60, 2), (200, 3), (50, 1)):
+        codes = random.integers(0, kinds, n)
+        order, shared = periodic_runs._suffixes(codes)
+        wanted = sorted(range(n), key=lambda i: codes[i:].tolist())
+        assert order.tolist() == wanted
+        for k in range(1, n):
+            a, b = codes[wanted[k - 1] :].tolist(), codes[wanted[k] :].tolist()
+            same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert shared[k] == same
+
+
+def test_long_repetitions_take_no_square():
+    for period in (1, 3, 500):
+        text = "start " + " ".join(f"w{k % period}" for k in range(60_000))
+        assert runs_of([text]) == [[(1, period, 60_000)]]
+    # Many far copies of a line make no pair.
+    line = " ".join(f"v{k}" for k in range(30))
+    text = " ".join(f"{line} {k}" for k in range(3_000))
+    assert runs_of([text]) == [[]]
+
+
+def changed(doc_id, text):
+    w = words_of(text)
+    if doc_id is None or not w:
+        return w
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(w)
+    if h % 10 == 0:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    return w
+
+
+def plain_digest(doc_id, text):
+    w = changed(doc_id, text)
+    runs = plain_runs(w)
+    gone = {k for s, p, n in runs for k in range(s + p, s + n)}
+    kept = sha(" ".join(x for k, x in enumerate(w) if k not in gone))
+    listed = sha("".join(f"{s},{n},{p}\n" for s, p, n in runs))
+    if not runs:
+        return (doc_id, 0, None, None, None, None, listed, kept)
+    s, p, n = min(runs, key=lambda r: (-r[2], r[0], r[1]))
+    return (doc_id, len(runs), s, n, p, 1000 * n // p, listed, kept)
+
+
+def test_digests_of_given_documents(shipped, small):
+    from boletim.llm import queries
+
+    docs = small("SELECT doc_id, text FROM documents")
+    got = [tuple(r) for r in queries.QUERIES["op12_periodic_runs"](shipped, "/root/testdata/sf0.001").collect()]
+    wanted = [plain_digest(i, t) for i, t in docs]
+    assert sorted(got) == sorted(wanted, key=lambda r: r[0])
+    assert sum(r[1] > 0 for r in got) >= 10
+
+
+@pytest.mark.parametrize("extra", ["runs", "words"])
+def test_runs_of_odd_tables(shipped, extra):
+    rows = [(None, None), (None, "a a a a a a"), (1, ""), (1, "a a a a a a a"), (1, "a a a a a a a"), (2, " \t\n"), (3, "y " * 20_000 + "z")]
+    docs = shipped.createDataFrame([(i, t, 0) for i, t in rows], f"doc_id long, text string, {extra} int")
+    got = [tuple(r) for r in periodic_runs.digests(periodic_runs.planted(docs)).collect()]
+    assert sorted(got, key=repr) == sorted([plain_digest(i, t) for i, t in rows], key=repr)
+    assert periodic_runs.digests(periodic_runs.planted(docs.limit(0))).collect() == []
