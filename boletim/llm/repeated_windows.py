@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boletim.llm.common import steps
@@ -27,7 +27,7 @@ from boletim.llm.words import Words, mix, rolling_hashes, split_words
 
 WINDOW = 50
 #: Windows whose hashes are reduced and dealt out together.
-STRETCH = 1 << 21
+STRETCH = 1 << 20
 #: Bytes of text for which there is a partition at least, and buckets in a partition.
 PARTITION_BYTES = 64 << 20
 BUCKETS = 4
@@ -67,12 +67,6 @@ def _shared(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     return among[fresh & (doc[among] > leader)], among[~new]
 
 
-def _by_document(doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.argsort(doc, kind="stable")
-    ids, first = np.unique(doc[order], return_index=True)
-    return ids, [part.tobytes() for part in np.split(keys[order], first[1:])] if len(ids) else []
-
-
 _COUNTED = pa.schema(
     [("bucket", pa.int64()), ("docs", pa.binary()), ("sizes", pa.binary()), ("one", pa.binary()), ("two", pa.binary())]
 )
@@ -80,8 +74,8 @@ _COUNTED_DDL = "bucket long, docs binary, sizes binary, one binary, two binary"
 
 
 def _stretch(one: np.ndarray, two: np.ndarray, doc: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A row for each bucket with its windows in the order of their documents, and for each document that
-    already has to give up windows a row in a negative bucket."""
+    """A row for each bucket with its windows in the order of their documents, and for windows that are known to be
+    lost a row in a negative bucket, with a document for each."""
     lost, repeated = _shared(one, two, doc)
     kept = np.ones(len(one), bool)
     kept[repeated] = False
@@ -99,15 +93,15 @@ def _stretch(one: np.ndarray, two: np.ndarray, doc: np.ndarray, buckets: int) ->
     def cut(values, places):
         return [part.tobytes() for part in np.split(values, places[1:])] if len(found) else []
 
-    ids, given = _by_document(doc[lost], one[lost])
-    none = [b""] * len(ids)
+    aside = [-1 - (int(lost[0]) + len(one)) % buckets] if len(lost) else []
+    some = [b""] * len(aside)
     return pa.record_batch(
         [
-            pa.array(found.tolist() + (-1 - ids % buckets).tolist(), pa.int64()),
-            pa.array(cut(docs, runs) + [d.tobytes() for d in ids], pa.binary()),
-            pa.array(cut(sizes, runs) + none, pa.binary()),
-            pa.array(cut(one[kept], at) + given, pa.binary()),
-            pa.array(cut((two[kept] & _U(255)).astype(np.uint8), at) + none, pa.binary()),
+            pa.array(found.tolist() + aside, pa.int64()),
+            pa.array(cut(docs, runs) + [doc[lost].tobytes()] * len(aside), pa.binary()),
+            pa.array(cut(sizes, runs) + some, pa.binary()),
+            pa.array(cut(one[kept], at) + [one[lost].tobytes()] * len(aside), pa.binary()),
+            pa.array(cut((two[kept] & _U(255)).astype(np.uint8), at) + some, pa.binary()),
         ],
         schema=_COUNTED,
     )
@@ -137,42 +131,128 @@ def _windows(documents: DataFrame, width: int, buckets: int) -> DataFrame:
     return documents.mapInArrow(rows, _COUNTED_DDL)
 
 
-def _losses(rows: list[dict]) -> pa.RecordBatch:
-    """Documents of one bucket with the hashes of the windows that a smaller id has too."""
+def _losses(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of one bucket and the hashes of their windows that a smaller id has too."""
     if rows[0]["bucket"] < 0:
-        ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
-        keys = [r["one"] for r in rows]
-    else:
-        docs, sizes, one, two = (
-            np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-            for name, kind in (("docs", np.int64), ("sizes", np.int32), ("one", _U), ("two", np.uint8))
-        )
-        doc = np.repeat(docs, sizes)
-        lost, _ = _shared(one, two, doc)
-        ids, keys = _by_document(doc[lost], one[lost])
-    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "keys"])
-
-
-def _counted(batches):
-    """The losses of each bucket of a partition in which the rows of a bucket follow each other."""
-    held: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and (held[0]["bucket"] != row["bucket"] or row["bucket"] < 0):
-                yield _losses(held)
-                held = []
-            held.append(row)
-    if held:
-        yield _losses(held)
-
-
-def lost_windows(documents: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``doc_id, keys``: first hashes of the windows that each document must give up, in several rows."""
-    spark = documents.sparkSession
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
-    dealt = _windows(documents, width, partitions * BUCKETS).repartition(partitions, "bucket")
-    return dealt.sortWithinPartitions("bucket").mapInArrow(_counted, "doc_id long, keys binary")
+        return tuple(np.concatenate([np.frombuffer(r[n], k) for r in rows]) for n, k in (("docs", np.int64), ("one", _U)))
+    docs, sizes, one, two = (
+        np.concatenate([np.frombuffer(r[name], kind) for r in rows])
+        for name, kind in (("docs", np.int64), ("sizes", np.int32), ("one", _U), ("two", np.uint8))
+    )
+    doc = np.repeat(docs, sizes)
+    lost, _ = _shared(one, two, doc)
+    return doc[lost], one[lost]
+
+
+def _home(doc: np.ndarray, homes: int) -> np.ndarray:
+    """The bucket of a document; ``_home_column`` is the same in Spark."""
+    return np.mod((doc.view(_U) ^ (doc.view(_U) >> _U(20))).view(np.int64), homes)
+
+
+def _home_column(homes: int) -> Column:
+    own = F.col("doc_id").bitwiseXOR(F.shiftrightunsigned("doc_id", 20))
+    return F.pmod(F.coalesce(own, F.xxhash64("text")), F.lit(homes).cast("long"))
+
+
+_LOST = "home long, doc_id long, text string, docs binary, keys binary"
+
+
+def _packed(doc: np.ndarray, key: np.ndarray, homes: int) -> pa.RecordBatch:
+    """A row for each home with the documents and hashes that belong there."""
+    home = _home(doc, homes)
+    order = np.argsort(home, kind="stable")
+    found, first = np.unique(home[order], return_index=True)
+    cut = [[p.tobytes() for p in np.split(v[order], first[1:])] if len(found) else [] for v in (doc, key)]
+    none = pa.nulls(len(found))
+    return pa.record_batch(
+        [pa.array(found, pa.int64()), none.cast(pa.int64()), none.cast(pa.string()), *(pa.array(c, pa.binary()) for c in cut)],
+        ["home", "doc_id", "text", "docs", "keys"],
+    )
+
+
+def lost_windows(documents: DataFrame, partitions: int, width: int = WINDOW) -> DataFrame:
+    """``home, docs, keys``: pairs of a document and the first hash of a window that it must give up, packed by home."""
+    homes = partitions * BUCKETS
+
+    def counted(batches):
+        held: list[dict] = []
+        found, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["bucket"] != row["bucket"]:
+                    found.append(_losses(held))
+                    size, held = size + len(found[-1][0]), []
+                    if size >= STRETCH:
+                        yield _packed(*map(np.concatenate, zip(*found, strict=True)), homes)
+                        found, size = [], 0
+                held.append(row)
+        if held:
+            found.append(_losses(held))
+        if found:
+            yield _packed(*map(np.concatenate, zip(*found, strict=True)), homes)
+
+    dealt = _windows(documents, width, homes).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(counted, _LOST)
+
+
+class _Home:
+    """The hashes that the documents of one home give up."""
+
+    def __init__(self) -> None:
+        self.docs: list[bytes] = []
+        self.keys: list[bytes] = []
+        self.ready = None
+
+    def add(self, docs: bytes, keys: bytes) -> None:
+        self.docs.append(docs)
+        self.keys.append(keys)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last place of each id's hashes, and all hashes."""
+        if self.ready is None:
+            doc = np.frombuffer(b"".join(self.docs), np.int64)
+            order = np.argsort(doc, kind="stable")
+            self.ready = doc[order], np.frombuffer(b"".join(self.keys), _U)[order]
+            self.docs, self.keys = [], []
+        doc, keys = self.ready
+        return np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right"), keys
+
+
+def _without(texts: list[bytes], ids: pa.Array, home: _Home, width: int) -> pa.RecordBatch:
+    words = split_words(texts)
+    one, _, at = window_keys(words, width)
+    begin, end, keys = home.of(ids.fill_null(0).to_numpy(zero_copy_only=False))
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    bound = np.searchsorted(words.text[at], np.arange(len(texts) + 1))
+    cover = np.zeros(len(words.start) + 1, np.int64)
+    for i in np.flatnonzero(known & (begin < end)).tolist():
+        a, b = bound[i], bound[i + 1]
+        hit = at[a:b][np.isin(one[a:b], keys[begin[i] : end[i]])]
+        cover[hit] += 1
+        cover[hit + width] -= 1
+    covered = np.cumsum(cover[:-1]) > 0
+    spans, kept = [], []
+    for i, text in enumerate(texts):
+        a, b = words.first[i], words.first[i + 1]
+        edges = np.flatnonzero(np.diff(covered[a:b].view(np.int8), prepend=0, append=0)) if begin[i] < end[i] else []
+        spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2], strict=True)])
+        parts, last = text.split(), 0
+        if spans[-1]:
+            parts, whole = [], parts
+            for span in spans[-1]:
+                parts += whole[last : span["start"]]
+                last = span["end"]
+            parts += whole[last:]
+        kept.append(b" ".join(parts).decode())
+    return pa.record_batch(
+        [
+            ids,
+            pa.array(words.counts, pa.int64()),
+            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            pa.array(kept, pa.string()),
+        ],
+        ["doc_id", "n_words", "removed", "kept"],
+    )
 
 
 _KEPT = "doc_id long, n_words long, removed array<struct<start: long, end: long>>, kept string"
@@ -180,50 +260,41 @@ _KEPT = "doc_id long, n_words long, removed array<struct<start: long, end: long>
 
 def remove_repeats(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, removed, kept`` of every document: its removal intervals, as first word and the one
-    after the last, and the words that stay, joined by one space."""
+    after the last, and the words that stay, joined by one space.
+
+    Hashes to give up and texts meet by home, the hashes first; texts then pass one after another.
+    """
     docs = documents.select(F.col("doc_id").cast("long"), "text")
-    lost = lost_windows(docs, width).groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
+    texts = docs.select(
+        _home_column(partitions * BUCKETS).alias("home"), "doc_id", F.coalesce("text", F.lit("")).alias("text"),
+        F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("keys"),
+    )
+    met = lost_windows(docs, partitions, width).unionByName(texts).repartition(partitions, "home")
+    met = met.sortWithinPartitions("home", F.col("docs").isNull())
 
     def rows(batches):
+        now, home = None, _Home()
         for batch in batches:
-            lists = batch.column("keys")
-            for first, texts in steps(batch):
-                words = split_words(texts)
-                one, _, at = window_keys(words, width)
-                owner = words.text[at]
-                cover = np.zeros(len(words.start) + 1, np.int64)
-                for i in range(len(texts)):
-                    keys = lists[first + i].as_py()
-                    if keys:
-                        a, b = np.searchsorted(owner, [i, i + 1])
-                        hit = at[a:b][np.isin(one[a:b], np.frombuffer(b"".join(keys), _U))]
-                        cover[hit] += 1
-                        cover[hit + width] -= 1
-                covered = np.cumsum(cover[:-1]) > 0
-                spans, kept = [], []
-                for i, text in enumerate(texts):
-                    a, b = words.first[i], words.first[i + 1]
-                    own = np.flatnonzero(np.diff(covered[a:b].view(np.int8), prepend=0, append=0))
-                    spans.append([{"start": s, "end": e} for s, e in own.reshape(-1, 2).tolist()])
-                    parts, last = text.split(), 0
-                    if spans[-1]:
-                        parts, whole = [], parts
-                        for span in spans[-1]:
-                            parts += whole[last : span["start"]]
-                            last = span["end"]
-                        parts += whole[last:]
-                    kept.append(b" ".join(parts).decode())
-                yield pa.record_batch(
-                    [
-                        batch.column("doc_id").slice(first, len(texts)),
-                        pa.array(words.counts, pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array(kept, pa.string()),
-                    ],
-                    ["doc_id", "n_words", "removed", "kept"],
-                )
-
-    return docs.join(lost, "doc_id", "left").mapInArrow(rows, _KEPT)
+            homes = batch.column("home").to_numpy()
+            is_text = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
+            docs, keys = batch.column("docs"), batch.column("keys")
+            edges = np.flatnonzero((np.diff(homes) != 0) | np.diff(is_text)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(homes)], strict=True):
+                if a == b:
+                    continue
+                if homes[a] != now:
+                    now, home = homes[a], _Home()
+                if not is_text[a]:
+                    for k in range(a, b):
+                        home.add(docs[k].as_py(), keys[k].as_py())
+                    continue
+                part = batch.slice(a, b - a)
+                for first, texts in steps(part):
+                    yield _without(texts, part.column("doc_id").slice(first, len(texts)), home, width)
+
+    return met.mapInArrow(rows, _KEPT)
 
 
 def digests(documents: DataFrame, width: int = WINDOW) -> DataFrame:
