@@ -1,39 +1,56 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A text is cut into windows of a few words. Each window is compressed twice, with the ordinary dictionary and with
-the toxic one. Where the toxic one saves bytes, each word is compressed by itself between bytes both dictionaries
-hold; its distance is what the toxic dictionary saves less what it still needs, so a word it holds whole stands out. The
-ordinary dictionary is trained by the zstandard library on windows of ordinary documents. The toxic one is laid over it, so both
-explain ordinary text equally well, and holds the passages that set toxic learning documents apart: what is covered by byte
-runs and words found in many toxic and few ordinary documents, the commonest nearest. The threshold of a word is calibrated on
-ordinary documents, and the score of a document, from its largest distance and its words beyond the threshold, by
-logistic regression, on learning documents that no dictionary had seen by then.
+Both dictionaries are trained by the zstandard library: the ordinary one on windows of ordinary documents, the toxic one on the
+passages that set toxic documents apart, which are what runs found in many toxic and few ordinary documents cover of a
+word. The toxic one is laid over the ordinary one, so both explain ordinary text equally well. A text is cut into
+windows, first of ``WINDOW_WORDS`` words; where the toxic dictionary saves bytes, the window is cut again into windows of one word
+between bytes that both dictionaries hold. The distance of a window is what the toxic dictionary saves less what it
+still needs.
+
+The threshold of a distance, and the score of a document from its largest distance and its windows beyond the threshold, are
+calibrated by cross-fitting: each third of the learning documents, by a hash of the text, is compressed with dictionaries trained on the
+other two. The dictionaries that score are trained in the same way on all three. Nothing depends on the order of the learning rows, and
+they never come to the driver: each training is a task, whose texts are bounded by ``FIT_BYTES``.
 
 Edge cases: a null text is empty; empty texts have no window and get a score like any text without
-distance; repeated rows are scored one by one; without learnable labels of both kinds every score is the share
-of label 1 (zero without any); an empty table gives no rows. Labels, language, source and id are never inputs.
+distance; repeated rows are scored one by one; of several texts of one learnable id the smallest is learnt; without learnable
+labels of both kinds every score is the share of label 1 (zero without any); an empty table gives no rows. Labels,
+language, source and id are never inputs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boletim.llm.common import kept_rows, learning_rows, remainder, steps
+from boletim.llm.common import kept_rows, learning_rows, remainder, steps, written
 from boletim.llm.words import span_hashes
 
-#: At most so many labelled documents are used to train and calibrate.
+#: At most so many labelled documents are used to train and calibrate, of so many bytes; a longer one than ``FIT_TEXT`` is left out.
 FIT_ROWS = 8_000
-#: Words in a window, and bytes of each trained dictionary.
+FIT_BYTES = 32 << 20
+FIT_TEXT = 256 << 10
+#: Documents are dealt by their text to so many folds, each calibrated with dictionaries of the others.
+FOLDS = 3
+#: Words in a first window, bytes of the ordinary dictionary, windows it is trained on, spread over all ordinary documents.
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 4_096
-TOXIC_BYTES = 4_096
+ORDINARY_WINDOWS = 60_000
+#: The toxic dictionary has so many bytes for each byte of its different passages, between these bounds.
+TOXIC_SHARE = 3
+TOXIC_BYTES = (4_096, 24_576)
+#: Bytes that the trainer counts together, and bytes of a segment that it takes up, for both dictionaries.
+ORDINARY_SEGMENTS = (6, 48)
+TOXIC_SEGMENTS = (6, 200)
+#: A word is cut into pieces of so many bytes.
+WORD_BYTES = 48
 #: Bytes in a run that may set toxic text apart, beside whole words, and most bytes of a passage; least toxic documents
 #: that must hold a run, the chance that so many documents all happen to be toxic, and the share of toxic text among the
 #: run's documents if both kinds were equally common.
@@ -54,8 +71,8 @@ CALM_SHARE = 0.99
 def windows(text: bytes) -> list[bytes]:
     """The lower-cased words of the text, a few at a time, between single spaces."""
     words = text.lower().split()
-    if len(text) > 48 * (len(words) + 1):  # some word may be long
-        words = [w[i : i + 48] for w in words for i in range(0, len(w), 48)]
+    if max(map(len, words), default=0) > WORD_BYTES:
+        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
     return [
         b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, len(words), WINDOW_WORDS)
     ]
@@ -72,27 +89,35 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """Dictionary trained on the samples by the library; their commonest ones if they are too few for it."""
-    if len(samples) >= 64 and sum(map(len, samples)) > 4 * size:
-        try:
-            return zstandard.train_dictionary(size, samples, d=6, k=48).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return _commonest(samples, size, 1)
+def _trained(samples: list[bytes], size: int, segments: tuple[int, int]) -> bytes:
+    """Dictionary trained on the samples by the library; the commonest samples if they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, samples, d=segments[0], k=segments[1]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return _commonest(samples, size)
 
 
-def _commonest(samples: list[bytes], size: int, least: int) -> bytes:
-    """Content dictionary of the samples found ``least`` times or more, the commonest last, where offsets are short."""
+def _commonest(samples: list[bytes], size: int) -> bytes:
+    """The different samples that fit, commonest first taken and last put, where offsets are short."""
     kept, length = [], 0
-    for sample, n in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
-        if n < least or length + len(sample) > size:
-            break
-        kept.append(sample)
-        length += len(sample)
+    for sample, _ in sorted(Counter(samples).items(), key=lambda x: (-x[1], x[0])):
+        if length + len(sample) <= size:
+            kept.append(sample)
+            length += len(sample)
     return b"".join(reversed(kept))
 
 
+def _layers(samples: list[bytes]) -> list[bytes]:
+    """All different samples, then all found twice or more, and so on, so that a segment holds many different ones."""
+    left = Counter(samples)
+    order, out = sorted(left, key=lambda x: (-left[x], x)), []
+    while order:
+        out += order
+        left.subtract(order)
+        order = [x for x in order if left[x]]
+    return out
+
+
 def _filler(size: int) -> bytes:
     """Bytes that no text holds, to give both dictionaries one length and so equal offsets."""
     return bytes(1 + (i * 7 + i // 5) % 8 for i in range(size))
@@ -187,7 +212,7 @@ class Detector:
         return _compressor(plain), _compressor(toxic), self.ordinary[-CONTEXT:]
 
     def distances(self, pair, texts: list[bytes]) -> list[np.ndarray]:
-        """Bytes saved by the toxic dictionary less the bytes it still needs, for each word of the windows that it
+        """Bytes saved by the toxic dictionary less the bytes it still needs, for each window of one word in the windows that it
         compresses better; a word that it holds whole saves more than it costs.
 
         A word is compressed between bytes that both dictionaries hold, as a few bytes alone don't compress and
@@ -223,22 +248,46 @@ class Detector:
         return 1 / (1 + np.exp(-np.clip(self.base + x @ self.weights, -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
-    """Two thirds of the texts train the dictionaries, the others calibrate; then the toxic one is trained on all."""
-    nothing = Detector(b"", b"", 0.0, np.zeros(3), np.zeros(3), np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
-    if len(np.unique(labels)) < 2:
-        return nothing
-    place = np.arange(len(texts)) % 3
-    train, held = place != 2, place == 2
-    if len(np.unique(labels[held])) < 2 or len(np.unique(labels[train])) < 2:
-        train = held = np.ones(len(texts), bool)
-    toxic = [t for t, y, m in zip(texts, labels, train, strict=True) if m and y]
-    ordinary = [t for t, y, m in zip(texts, labels, train, strict=True) if m and not y]
-    detector = nothing
-    detector.ordinary = _trained([w for t in ordinary for w in windows(t)][:200_000], ORDINARY_BYTES)
-    detector.toxic = _commonest(telling_passages(toxic, ordinary), TOXIC_BYTES, 2)
-    distances = detector.distances(detector.prepare(), [t for t, m in zip(texts, held, strict=True) if m])
-    y = labels[held].astype(float)
+def fold(text: bytes) -> int:
+    """The fold of a text; copies share it."""
+    return zlib.crc32(text) % FOLDS
+
+
+def train(texts: list[bytes], labels: list[int]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary of labelled texts, in whatever order they come."""
+    pairs = sorted(zip(texts, labels, strict=True))
+    toxic, ordinary = [t for t, y in pairs if y], [t for t, y in pairs if not y]
+    cut = [w for t in ordinary for w in windows(t)]
+    plain = _trained(cut[:: -(-len(cut) // ORDINARY_WINDOWS) or 1], ORDINARY_BYTES, ORDINARY_SEGMENTS)
+    passages = telling_passages(toxic, ordinary)
+    least, most = TOXIC_BYTES
+    size = min(max(TOXIC_SHARE * sum(map(len, set(passages))), least), most)
+    return plain, _trained(_layers(passages), size, TOXIC_SEGMENTS)
+
+
+def _empty(base: float = 0.0) -> Detector:
+    return Detector(b"", b"", 0.0, np.zeros(3), np.zeros(3), np.zeros(3), base)
+
+
+def held_distances(texts: list[bytes], labels: list[int], at: int) -> list[tuple[int, np.ndarray]]:
+    """Label and distances of the texts of one fold, with dictionaries of all others."""
+    own = [fold(t) == at for t in texts]
+    rest = [(t, y) for t, y, o in zip(texts, labels, own, strict=True) if not o]
+    detector = _empty()
+    detector.ordinary, detector.toxic = train([t for t, _ in rest], [y for _, y in rest])
+    held = [(t, y) for t, y, o in zip(texts, labels, own, strict=True) if o]
+    return [(y, d) for (_, y), d in zip(held, detector.distances(detector.prepare(), [t for t, _ in held]), strict=True)]
+
+
+def calibrated(dictionaries: tuple[bytes, bytes], held: list[tuple[int, np.ndarray]]) -> Detector:
+    """Detector with these dictionaries, its threshold and weights from labels and distances of texts they didn't learn from."""
+    held = sorted(held, key=lambda x: (x[0], x[1].tolist()))
+    y = np.array([label for label, _ in held], float)
+    distances = [d for _, d in held]
+    detector = _empty(float(y.mean()) if len(y) else 0.0)
+    if len(np.unique(y)) < 2:
+        return detector
+    detector.ordinary, detector.toxic = dictionaries
     calm = np.concatenate([d for d, label in zip(distances, y, strict=True) if not label])
     detector.threshold = float(np.quantile(calm, CALM_SHARE)) if len(calm) else 0.0
     x = detector.evidence(distances)
@@ -250,22 +299,63 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
         slope = x.T @ (y - p) - 0.01 * beta
         beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), slope)
     detector.base, detector.weights = float(beta[0]), beta[1:]
-    # Calibrated on unseen texts, the dictionary may now learn from these too.
-    both = [[t for t, y in zip(texts, labels, strict=True) if y == kind] for kind in (1, 0)]
-    detector.toxic = _commonest(telling_passages(*both), TOXIC_BYTES, 2)
     return detector
 
 
+def fit(texts: list[bytes], labels: np.ndarray) -> Detector:
+    """Detector learnt from texts in this process."""
+    marks = [int(y) for y in labels]
+    held = [x for at in range(FOLDS) for x in held_distances(texts, marks, at)]
+    return calibrated(train(texts, marks), held)
+
+
 def held_out(column: str = "doc_id"):
     """Whether labels of this id are kept for testing; false for a null id."""
     return F.coalesce(remainder(5, column) == 0, F.lit(False))
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector:
-    """Detector learnt from at most ``bound`` labelled documents whose remainder modulo 5 is not 0."""
+def _learnt(documents: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
+    """``text, label`` of the learning rows: lowest by a hash of the id, as far as their bytes go."""
     rows = learning_rows(documents, labels, "toxic", ~held_out(), bound)
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))
-    return fit([(r.text or "").encode() for r in got], np.array([int(r.label) for r in got], np.int64))
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT).groupBy("doc_id").agg(
+        F.coalesce(F.min("text"), F.lit("")).alias("text"), F.min("label").alias("label")
+    )
+    rows = written(rows.withColumn("size", F.octet_length("text")), "learning")
+    # At most ``bound`` rows of two numbers.
+    sizes = rows.select("doc_id", "size")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    within = sizes.withColumn("total", F.sum("size").over(before)).filter(F.col("total") <= FIT_BYTES)
+    return rows.join(F.broadcast(within.select("doc_id")), "doc_id", "left_semi").select("text", "label")
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Detector:
+    """Detector learnt from at most ``bound`` labelled documents whose remainder modulo 5 is not 0.
+
+    The folds and the final dictionaries are trained side by side, each in a task of at most ``FIT_BYTES`` of text; what comes
+    back are the dictionaries and the distances of the learning documents.
+    """
+    parts = F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("part")
+    dealt = _learnt(documents, labels, bound).select("text", "label", parts).repartitionByRange(FOLDS + 1, "part")
+
+    def trained(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.setdefault(row["part"], []).append((row["text"].encode(), row["label"]))
+        for part, rows in sorted(held.items()):
+            texts, marks = [t for t, _ in rows], [y for _, y in rows]
+            if part < FOLDS:
+                out = [(y, d.astype("<i4").tobytes(), None) for y, d in held_distances(texts, marks, part)]
+            else:
+                out = [(None, *train(texts, marks))]
+            columns = zip(pa.schema([("label", pa.int32()), ("one", pa.binary()), ("two", pa.binary())]), zip(*out, strict=True), strict=True)
+            if out:
+                yield pa.record_batch({f.name: pa.array(list(v), f.type) for f, v in columns})
+
+    got = dealt.mapInArrow(trained, "label int, one binary, two binary").collect()
+    held = [(r.label, np.frombuffer(r.one, "<i4")) for r in got if r.label is not None]
+    dictionaries = next(((bytes(r.one), bytes(r.two)) for r in got if r.label is None), (b"", b""))
+    return calibrated(dictionaries, held)
 
 
 def score(documents: DataFrame, detector: Detector) -> DataFrame:

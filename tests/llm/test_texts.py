@@ -179,11 +179,65 @@ def test_toxicity_on_held_out_rows(labelled):
     ids, texts, _, toxic = labelled
     out = held(ids, 5, 0)
     pick = lambda m: [t for t, k in zip(texts, m, strict=True) if k]
-    detector = compression_toxicity.fit(pick(~out), toxic[~out])
+    learn, marks = pick(~out), toxic[~out]
+    detector = compression_toxicity.fit(learn, marks)
     said = detector.scores(detector.distances(detector.prepare(), pick(out))) >= 0.5
-    # 0.88 of the toxic rows are found: with some 300 toxic rows to learn from, rare coined words stay unknown.
     assert (said == toxic[out]).mean() > 0.97
     assert said[toxic[out] == 1].mean() > 0.85 and said[toxic[out] == 0].mean() < 0.01
+    # Both dictionaries come from the library's trainer, which marks what it makes.
+    assert detector.ordinary[:4] == detector.toxic[:4] == (0xEC30A437).to_bytes(4, "little")
+
+
+def test_order_of_learning_rows_does_not_matter(labelled):
+    _, texts, _, toxic = labelled
+    texts, toxic = texts[:900], toxic[:900]
+    one = compression_toxicity.fit(texts, toxic)
+    for seed in (1, 2, 3):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        other = compression_toxicity.fit([texts[i] for i in order], toxic[order])
+        assert (one.ordinary, one.toxic, one.threshold, one.base) == (other.ordinary, other.toxic, other.threshold, other.base)
+        assert (one.weights == other.weights).all()
+
+
+def test_trained_in_tasks_equals_trained_here(shipped, small):
+    documents, labels = (shipped.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = small("SELECT DISTINCT doc_id, text, toxic FROM documents JOIN labels USING (doc_id)")
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    here = compression_toxicity.fit([r[1].encode() for r in rows], np.array([r[2] for r in rows]))
+    there = compression_toxicity.fit_toxicity(documents, labels)
+    assert (here.ordinary, here.toxic, here.threshold, here.base) == (there.ordinary, there.toxic, there.threshold, there.base)
+
+
+def test_learning_rows_are_bounded(shipped, monkeypatch):
+    monkeypatch.setattr(compression_toxicity, "FIT_BYTES", 5_000)
+    monkeypatch.setattr(compression_toxicity, "FIT_TEXT", 1_000)
+    docs = shipped.range(40).selectExpr("id AS doc_id", "repeat('w ', 100 + int(id % 2) * 1000) AS text")
+    docs = docs.union(shipped.range(3000).selectExpr("2L AS doc_id", "concat('v', id) AS text"))  # a hot id
+    labels = shipped.range(40).selectExpr("id AS doc_id", "int(id % 4 = 0) AS toxic")
+    rows = compression_toxicity._learnt(docs, labels, 100).collect()
+    assert 15 < len(rows) <= 25 and sum(len(r.text) for r in rows) <= 5_000 and max(len(r.text) for r in rows) <= 200
+    model = compression_toxicity.fit_toxicity(docs, labels)
+    assert compression_toxicity.score(docs, model).count() == 3040
+
+
+def test_plain_distances(labelled):
+    """Each distance from lengths of windows, one by one."""
+    _, texts, _, toxic = labelled
+    detector = compression_toxicity.fit(texts[:900], toxic[:900])
+    plain, bad, context = detector.prepare()
+    got = detector.distances((plain, bad, context), texts[900:960])
+    for text, found in zip(texts[900:960], got, strict=True):
+        words = [w[i : i + 48] for w in text.lower().split() for i in range(0, len(w), 48)]
+        wanted = []
+        for k in range(0, len(words), 8):
+            window = b" " + b" ".join(words[k : k + 8]) + b" " + context
+            if len(plain.compress(window)) - len(bad.compress(window)) >= 2:
+                for w in words[k : k + 8]:
+                    around = [context + b" " + x + b" " + context for x in (w, b"")]
+                    around[1] = context + b" " + context
+                    need = len(bad.compress(around[0])) - len(bad.compress(around[1]))
+                    wanted.append(len(plain.compress(around[0])) - len(bad.compress(around[0])) - need)
+        assert found.tolist() == wanted
 
 
 def test_windows_hold_every_word():
