@@ -119,15 +119,25 @@ def store(
     descending: bool = False,
     collation: str | None = None,
     mode: str = "errorifexists",
+    searched: Sequence[str] = (),
+    group_bytes: int | None = None,
 ) -> DataFrame:
     """Compute a report once, write it sorted to ``path`` and return it with its positions.
 
     The path is the caller's, where every executor reaches it. Search, facets, counts and pages of
-    the returned rows then read the files and never run the report again.
+    the returned rows then read the files and never run the report again. Exact selections on the order's
+    columns skip row groups by their bounds, those on the columns ``searched`` by bloom filters; ``group_bytes``
+    is the size of a row group.
     """
     ordered = sort(df, column, descending, collation)
     # The id holds the range in its upper bits and the row within it in the lower 33.
-    ordered.withColumn("_row", F.monotonically_increasing_id()).write.mode(mode).parquet(path)
+    out = ordered.withColumn("_row", F.monotonically_increasing_id()).write.mode(mode)
+    for name in searched:
+        checked(df, name)
+        out = out.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    if group_bytes:
+        out = out.option("parquet.block.size", str(group_bytes))
+    out.parquet(path)
     return stored(df.sparkSession, path)
 
 
@@ -157,6 +167,45 @@ def page(rows: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
     return wanted.orderBy("position").drop("position")
 
 
+def order_index(
+    spark: SparkSession,
+    path: str,
+    index_path: str,
+    column: str,
+    descending: bool = False,
+    collation: str | None = None,
+    mode: str = "errorifexists",
+) -> DataFrame:
+    """Another order of the report stored in ``path``: ``position, _row``, written to ``index_path``.
+
+    Only the sort key and the place of a row in the files are read, sorted and written, whatever other columns the
+    report has. Rows of equal keys keep their stored order.
+    """
+    rows = spark.read.parquet(path)
+    checked(rows, column)
+    keys = [order_key(rows, column, descending, collation)]
+    if collation:
+        keys.append(order_key(rows, column))
+    places = rows.select(f"`{column}`", "_row").orderBy(*keys, "_row").select(F.col("_row").alias("_place"))
+    places.withColumn("_row", F.monotonically_increasing_id()).write.mode(mode).parquet(index_path)
+    return stored(spark, index_path)
+
+
+def page_by_index(
+    spark: SparkSession, path: str, index: DataFrame, number: int = 0, size: int = 10
+) -> DataFrame:
+    """Page ``number`` of ``size`` rows of the report stored in ``path``, in the order of the index.
+
+    The page's places come here, at most ``size`` numbers; the files are then read at these places, which skips
+    the row groups without them.
+    """
+    start = number * size
+    wanted = index.filter(F.col("position").between(start, start + size - 1)).orderBy("position").collect()
+    order = F.array_position(F.array(*[F.lit(row["_place"]) for row in wanted]).cast("array<bigint>"), F.col("_row"))
+    rows = spark.read.parquet(path).filter(F.col("_row").isin([row["_place"] for row in wanted]))
+    return rows.orderBy(order).drop("_row")
+
+
 def counts(df: DataFrame, condition: Column) -> DataFrame:
     """One row: all rows, and those that meet the condition, counted in one pass."""
     return df.agg(

@@ -65,6 +65,11 @@ def _classes_with_exams(t: Tables, net: DataFrame) -> DataFrame:
         .groupBy(*keys, "exam")
         .agg(F.count(F.lit(1)).alias("finished"))
     )
+    return matched_classes(finished, enrolled, keys)
+
+
+def matched_classes(finished: DataFrame, enrolled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both measures of a class side by side: ``*keys, exam, finished, enrolled``."""
     in_class = Window.partitionBy(*keys)
     return (
         stacked([finished, enrolled])
@@ -86,11 +91,24 @@ def progress_by_exam(
     excluded_school: str = fixed.EXCLUDED_SCHOOL,
 ) -> DataFrame:
     """Students who finished each exam beside those enrolled, for every class."""
-    net = network(t).filter(
+    return progress_rows(_classes_with_exams(t, progress_network(t, institution_ids, excluded_school)))
+
+
+def progress_network(
+    t: Tables,
+    institution_ids: Sequence[int] = fixed.PROGRESS_INSTITUTIONS,
+    excluded_school: str = fixed.EXCLUDED_SCHOOL,
+) -> DataFrame:
+    """The classes of the progress report."""
+    return network(t).filter(
         F.col("institution_id").isin(*institution_ids)
         & not_named(F.col("college"), excluded_school)
     )
-    report = _classes_with_exams(t, net).select(
+
+
+def progress_rows(classes: DataFrame) -> DataFrame:
+    """The progress report of classes with their exams, counted now or kept."""
+    report = classes.select(
         F.col("college").alias("escola"),
         F.col("classroom").alias("turma"),
         label_by_pattern(F.col("exam"), fixed.SUBJECTS_WITH_MINI_EXAMS).alias("disciplina"),

@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _cell(df: DataFrame, name: str) -> Column:
+def cell(df: DataFrame, name: str) -> Column:
     """One cell as JSON text; decimals become strings, as a double could not hold them."""
-    cell = F.col(f"`{name}`")
+    value = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, T.DecimalType):
-        cell = cell.cast("string")
-    text = F.to_json(F.array(cell))
+        value = value.cast("string")
+    text = F.to_json(F.array(value))
     return text.substr(F.lit(2), F.length(text) - 2)
 
 
-def json_rows(df: DataFrame) -> DataFrame:
-    """Each row as the text of a JSON array, as ``linha``; numbers and nulls keep their type."""
-    cells = F.concat_ws(",", *[_cell(df, name) for name in df.columns])
-    return df.select(F.concat(F.lit("["), cells, F.lit("]")).alias("linha"))
+def json_rows(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Each row as the text of a JSON array, as ``linha``; numbers and nulls keep their type.
+
+    With ``names`` only these columns are cells, and all others stay as they are.
+    """
+    cells = F.concat_ws(",", *[cell(df, name) for name in names or df.columns])
+    others = [f"`{name}`" for name in df.columns if names is not None and name not in names]
+    return df.select(F.concat(F.lit("["), cells, F.lit("]")).alias("linha"), *others)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

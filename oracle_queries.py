@@ -355,15 +355,51 @@ _R2_TEXTS = (
 )
 
 
+def _json_cell(name: str) -> str:
+    return f"coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"
+
+
+_JSON_ROW = "'[' || " + " || ',' || ".join([*[_json_cell(name) for name in _R3_COLUMNS], _json_cell(_RATE)]) + " || ']'"
+
+
 def _json() -> str:
-    def cell(name: str) -> str:
-        return f"coalesce(CAST(to_json({name}) AS VARCHAR), 'null')"
+    return _listing(f"SELECT {_JSON_ROW} AS linha FROM report")
+
+
+def _framed(lines: str, frame: list[tuple[int, str]]) -> str:
+    """Lines of a document: those of its parts, and one before each part."""
+    edges = ", ".join(f"({part}, -1, '{text}')" for part, text in frame)
+    return f"""SELECT CAST(parte AS INT) AS parte, CAST(posicao AS BIGINT) AS posicao, linha
+               FROM ({lines} UNION ALL SELECT * FROM (VALUES {edges}))"""
 
-    return _listing(
-        "SELECT '[' || "
-        + " || ',' || ".join([*[cell(name) for name in _R3_COLUMNS], cell(_RATE)])
-        + " || ']' AS linha FROM report"
-    )
+
+def _json_document() -> str:
+    order = ", ".join(f"{name} NULLS LAST" for name in (*_R3_COLUMNS, "taxa_participacao"))
+    names = ", ".join(f'"{name}"' for name in (*_R3_COLUMNS, "taxa_participacao"))
+    lines = f"""SELECT 0 AS parte, p AS posicao, CASE WHEN p = 0 THEN '' ELSE ',' END || j AS linha
+                FROM (SELECT row_number() OVER (ORDER BY {order}) - 1 AS p, {_JSON_ROW} AS j FROM report)"""
+    return _listing(_framed(lines, [(0, f'{{"columns":[{names}],"data":['), (1, "]}")]))
+
+
+def _chart_document() -> str:
+    series = ("Língua Portuguesa", "Matemática", "Sem disciplina")
+    comma = "CASE WHEN p = 0 THEN '' ELSE ',' END"
+    known = "'Língua Portuguesa', 'Matemática'"
+    values = [f"CASE WHEN cursos = '{name}' THEN alunos_simulado ELSE 0 END" for name in series[:2]]
+    values.append(f"CASE WHEN cursos IN ({known}) THEN 0 ELSE alunos_simulado END")
+    sums = ", ".join(f"CAST(sum({value}) AS BIGINT) AS v{i}" for i, value in enumerate(values, 1))
+    bars = f"SELECT *, row_number() OVER (ORDER BY escola NULLS LAST) - 1 AS p FROM (SELECT escola, {sums} FROM report GROUP BY escola)"
+    lines = [f"SELECT 0 AS parte, p AS posicao, {comma} || {_json_cell('escola')} AS linha FROM ({bars})"]
+    lines += [f"SELECT {i}, p, {comma} || v{i} FROM ({bars})" for i in (1, 2, 3)]
+    frame = [(0, '{"labels":[')]
+    frame += [(i, ("],\"datasets\":[" if i == 1 else "]},") + f'{{"label":"{name}","data":[') for i, name in enumerate(series, 1)]
+    return _listing(_framed(" UNION ALL ".join(lines), [*frame, (4, "]}]}")]))
+
+
+def _second_order() -> str:
+    others = [f"{name} NULLS LAST" for name in (*_R3_COLUMNS[:5], "taxa_participacao")]
+    order = ", ".join(["alunos_matriculados DESC NULLS LAST", *others])
+    return _listing(f"SELECT * FROM report ORDER BY {order} LIMIT 20 OFFSET 140")
 
 
 def texts(derived: bool = True) -> dict[str, str]:
@@ -446,4 +482,18 @@ def _reports() -> dict[str, str]:
         "export_csv_listing": _listing(_csv_line(_R3_TEXTS)),
         "export_csv_totals": _totals(True, _csv_line(_R2_TEXTS)),
         "export_json_rows": _json(),
+        "export_json_document": _json_document(),
+        "chart_document": _chart_document(),
+        # Case and accents count only between names that are equal without them.
+        "order_collated": _listing(
+            _placed("lower(strip_accents(nome_simulado))", "nome_simulado", "escola", "turma", "cursos",
+                    "alunos_simulado", "alunos_matriculados", "taxa_participacao")
+        ),
+        "grid_second_order": _second_order(),
+        "grid_multiselect_stored": _listing(
+            """SELECT * FROM report WHERE nome_simulado IN ('Brand#1 MT C1', 'Brand#12 Minissim') AND turma = 'Turma B'"""
+        ),
+        "r2_class_totals_laid_out": _totals(True),
+        "r1_progress_laid_out": _progress(),
+        "r1_progress_kept": _progress(),
     }
