@@ -42,6 +42,9 @@ LEAST_SHARE = 0.3
 #: A run of text is fixed by the template from this share of the pages, on hosts of this many different pages or more.
 FIXED_SHARE = 0.8
 FIXED_PAGES = 5
+#: A slot of a template is taken if it holds this share of the paragraphs beside it, pages that differ aside, and this share of all plain text.
+PARAGRAPH_SHARE = 0.9
+SLOT_SHARE = 0.5
 #: Share of linked characters that makes a list or container one of links.
 LINK_SHARE = 0.6
 
@@ -110,9 +113,38 @@ class Node:
     chars: int = 0
     link_chars: int = 0
     plain: int = 0
+    para: int = 0
+    bare: int = 0
     seen: Counter = field(default_factory=Counter)
 
 
+@dataclass(frozen=True)
+class Slot:
+    """What the elements of a role hold: parent role, plain characters and those of them in paragraphs or headings, and
+    characters of bare text in no element but inline ones.
+
+    Kind 2 is an element, 3 one that may be walked into, 4 one where the walk ends.
+    """
+
+    parent: int
+    plain: int
+    kind: int
+    para: int
+    bare: int
+
+    def plus(self, other: Slot | None) -> Slot:
+        """Both together; an element may be outside on some pages only."""
+        if other is None:
+            return self
+        return Slot(
+            self.parent, self.plain + other.plain, max(self.kind, other.kind), self.para + other.para, self.bare + other.bare
+        )
+
+    def less(self, plain: int) -> Slot:
+        """Without fixed text of the template, whatever kind of element it stands in."""
+        return Slot(self.parent, self.plain - plain, self.kind, self.para, max(self.bare - plain, 0))
+
+
 @dataclass
 class Run:
     node: int
@@ -129,11 +161,20 @@ class Page:
         self.runs: list[Run] = []
         self._parse(source)
         self._mark()
+        for run in self.runs:
+            node = self.nodes[run.node]
+            if run.role and not node.outside and not node.linked:
+                size, (holder, paragraph) = len(run.text) - run.text.count(" "), self.holder(run.node)
+                if paragraph:
+                    node.para += size
+                else:
+                    self.nodes[holder].bare += size
         for node in reversed(self.nodes[1:]):  # children stand after their parents
             above = self.nodes[node.parent]
             above.chars += node.chars
             above.link_chars += node.link_chars
             above.plain += node.plain
+            above.para += node.para
 
     def _parse(self, source: str) -> None:
         nodes, stack, breaks = self.nodes, [0], True
@@ -246,18 +287,41 @@ class Page:
         marks = [f"{k}={_DIGITS.sub('0', v)}" for k, v in values if k != "role" and v]
         return " ".join([name, *marks]), hint
 
-    def elements(self) -> dict[int, tuple[int, int, int]]:
-        """Parent role, plain characters and kind, for each role of the page and the root.
-
-        Kind 2 is an element, 3 one that may be walked into, 4 one where the walk ends.
-        """
-        out: dict[int, tuple[int, int, int]] = {0: (0, self.nodes[0].plain, 2)}
+    def elements(self) -> dict[int, Slot]:
+        """The slot of each role of the page and the root."""
+        root = self.nodes[0]
+        out = {0: Slot(0, root.plain, 2, root.para, root.bare)}
         for node in self.nodes[1:]:
-            before = out.get(node.role, (0, 0, 2))
             kind = 2 if node.outside or node.name not in CONTAINERS else 4 if node.name in ("article", "main") else 3
-            out[node.role] = (self.nodes[node.parent].role, before[1] + node.plain, max(kind, before[2]))
+            out[node.role] = Slot(self.nodes[node.parent].role, node.plain, kind, node.para, node.bare).plus(out.get(node.role))
         return out
 
+    def holder(self, at: int) -> tuple[int, bool]:
+        """The paragraph or container around an element's text, and whether it is a paragraph."""
+        while at and self.nodes[at].name not in PARAGRAPHS and self.nodes[at].name not in CONTAINERS:
+            at = self.nodes[at].parent
+        return at, self.nodes[at].name in PARAGRAPHS
+
+    def stays_outside(self, main: int, fixed: frozenset[int]) -> bool:
+        """Whether the page has paragraphs beside the elements of a role, or text of its own in what holds them."""
+        nodes = self.nodes
+        inside, above = [False], set()
+        for i, node in enumerate(nodes[1:], 1):
+            inside.append(inside[node.parent] or node.role == main)
+            if node.role == main:
+                above.add(node.parent)
+        for i in range(len(nodes) - 1, 0, -1):
+            if i in above:
+                above.add(nodes[i].parent)
+        for run in self.runs:
+            node = nodes[run.node]
+            if inside[run.node] or node.outside or node.linked or run.role in fixed or not run.text.strip():
+                continue
+            holder, paragraph = self.holder(run.node)
+            if paragraph or holder in above:
+                return True
+        return False
+
     def texts(self) -> dict[int, tuple[int, int, int]]:
         """Role of the element, plain characters and number of each run of text; a heading's are never the template's."""
         out: dict[int, tuple[int, int, int]] = {}
@@ -278,7 +342,7 @@ class Page:
     def text(self, main: int | None, fixed: frozenset[int] = frozenset()) -> str:
         """Text of the elements of role ``main``; of the page's own main container if it has none."""
         nodes = self.nodes
-        if not any(node.role == main for node in nodes[1:]):
+        if not any(node.role == main for node in nodes[1:]) or self.stays_outside(main, fixed):
             main = walk(self.elements())
         inside, drop, paragraph = [main == 0], [False], [False]
         for node in nodes[1:]:
@@ -306,24 +370,35 @@ class Page:
         return " ".join("".join(out).split())
 
 
-def walk(elements: dict[int, tuple[int, int, int]]) -> int:
-    """Role of the container reached from the root by going into the one with all of the plain text; 0 is the root."""
+def walk(elements: dict[int, Slot], template: bool = False) -> int:
+    """Role of the container that holds the article, from the root down; 0 is the root.
+
+    A page by itself goes on into a container only if all plain text is in it. The slots of a ``template`` say more: of
+    the slots beside each other one may hold the paragraphs of all pages, the others bare text and links. It is taken, and they are
+    left, unless what holds them has text of its own.
+    """
     below: dict[int, list[int]] = {}
-    for role, (parent, _, kind) in elements.items():
-        if role and kind > 2:
-            below.setdefault(parent, []).append(role)
+    for role, slot in elements.items():
+        if role and slot.kind > 2:
+            below.setdefault(slot.parent, []).append(role)
     at = 0
-    while at in below and elements[at][2] < 4:
-        best = max(below[at], key=lambda role: (elements[role][1], -role))
-        size = elements[best][1]
-        if not size or size < elements[at][1]:
+    while at in below and elements[at].kind < 4:
+        here = elements[at]
+        best = max(below[at], key=lambda role: (elements[role].para, elements[role].plain, -role))
+        slot = elements[best]
+        beside = template and not here.bare and slot.para and slot.para >= PARAGRAPH_SHARE * here.para
+        if not beside:
+            best = max(below[at], key=lambda role: (elements[role].plain, -role))
+            if not elements[best].plain or elements[best].plain < here.plain:
+                break
+        elif slot.plain < SLOT_SHARE * here.plain:
             break
         at = best
     return at
 
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-_TOKENS = "host string, role long, parent long, kind int, vector long, pages long, total long, plain long"
+_TOKENS = "host string, role long, parent long, kind int, vector long, pages long, total long, plain long, para long, bare long"
 
 
 def _signed(value: int) -> int:
@@ -331,7 +406,7 @@ def _signed(value: int) -> int:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """``host, role, parent, kind, vector, pages, total, plain``: each token of each host with its vector's digest.
+    """``host, role, parent, kind, vector, pages, total, plain, para, bare``: each token of each host with its vector's digest.
 
     Kind 0 is the page itself, 1 a text, 2 an element, 3 an element that may be walked into, 4 one where the walk ends. ``pages`` has ``host, html``.
     """
@@ -345,65 +420,68 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 counts = Counter(node.role for node in page.nodes)
                 elements = page.elements()
                 mark = _hash(str(number), 1)
-                rows = [(role, 0, 0, n, elements[0][1]) for role, n in counts.items() if not role]
-                rows += [(role, elements[role][0], elements[role][2], n, elements[role][1]) for role, n in counts.items() if role]
-                rows += [(role, parent, 1, n, plain) for role, (parent, plain, n) in page.texts().items()]
-                for role, parent, kind, n, plain in rows:
+                rows = [
+                    (role, slot.parent, slot.kind if role else 0, n, (slot.plain, slot.para, slot.bare))
+                    for role, n in counts.items()
+                    for slot in [elements[role]]
+                ]
+                rows += [(role, parent, 1, n, (plain, 0, 0)) for role, (parent, plain, n) in page.texts().items()]
+                for role, parent, kind, n, sizes in rows:
                     digest = (mark ^ n * 0x9E3779B97F4A7C15) & _SIGN
-                    held = found.setdefault((host, role, kind), [parent, 0, 0, 0, 0])
+                    held = found.setdefault((host, role, kind), [parent, 0, 0, 0, 0, 0, 0])
                     held[1] ^= digest * 0xC2B2AE3D27D4EB4F & _SIGN
                     held[2] += 1
                     held[3] += n
-                    held[4] += plain
+                    for place, size in enumerate(sizes, 4):
+                        held[place] += size
             keys = list(found)
-            values = np.array([[_signed(v[0]), _signed(v[1]), *v[2:]] for v in found.values()], np.int64).reshape(-1, 5)
+            values = np.array([[_signed(v[0]), _signed(v[1]), *v[2:]] for v in found.values()], np.int64).reshape(-1, 7)
             yield pa.record_batch(
                 [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64()),
                  pa.array(values[:, 0]), pa.array([k[2] for k in keys], pa.int32()),
-                 *[pa.array(values[:, i]) for i in range(1, 5)]],
-                ["host", "role", "parent", "kind", "vector", "pages", "total", "plain"],
+                 *[pa.array(values[:, i]) for i in range(1, 7)]],
+                ["host", "role", "parent", "kind", "vector", "pages", "total", "plain", "para", "bare"],
             )
 
     found = pages.select("host", "number", "html").mapInArrow(tokens, _TOKENS)
     return found.groupBy("host", "role", "kind").agg(
         F.min("parent").alias("parent"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"),
-        F.sum("total").alias("total"), F.sum("plain").alias("plain"),
+        *[F.sum(name).alias(name) for name in ("total", "plain", "para", "bare")],
     )
 
 
 def deduce(tokens: DataFrame, different: DataFrame) -> DataFrame:
     """``host, main, fixed``: the main container and the fixed texts of each host's template."""
-    hosts = tokens.filter("kind = 0").select("host", F.col("pages").alias("all"), F.col("plain").alias("whole")).join(different, "host")
+    hosts = tokens.filter("kind = 0").select("host", F.col("pages").alias("all"), F.struct("plain", "para", "bare").alias("whole")).join(different, "host")
     common = tokens.filter("kind > 0").join(hosts, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("all"))
     common = written(common, "tokens")
     vector = ["host", "vector", "pages", "total"]
     classes = common.groupBy(*vector).agg(F.sum(F.when(F.col("kind") == 1, 1).otherwise(2)).alias("size"))
     valid = common.join(classes.filter(F.col("size") >= LEAST_TOKENS), vector)
-    rows = valid.select("host", "role", "parent", "kind", "pages", "all", "whole", "different", "plain")
+    rows = valid.select("host", "role", "parent", "kind", "pages", "all", "whole", "different", "plain", "para", "bare")
     rows = rows.repartition("host").sortWithinPartitions("host")
 
     def nested(batches):
         for (host,), rows in runs(batches, ("host",)):
-            elements, fixed, own = {0: (0, rows["whole"][0], 2)}, [], []
-            for role, parent, kind, n, every, different, plain in zip(
-                *(rows[c] for c in ("role", "parent", "kind", "pages", "all", "different", "plain")), strict=True
-            ):
+            whole = rows["whole"][0]
+            elements, fixed, own = {0: Slot(0, whole["plain"], 2, whole["para"], whole["bare"])}, [], []
+            names = ("role", "parent", "kind", "pages", "all", "different", "plain", "para", "bare")
+            for role, parent, kind, n, every, different, plain, para, bare in zip(*(rows[c] for c in names), strict=True):
                 if kind == 1:
                     if different >= FIXED_PAGES and n >= FIXED_SHARE * every:
                         fixed.append(role)
                         own.append((parent, plain))
                 else:  # an element may be outside on some pages only
-                    _, before, other = elements.get(role, (0, 0, 2))
-                    elements[role] = (parent, plain + before, max(kind, other))
+                    elements[role] = Slot(parent, plain, kind, para, bare).plus(elements.get(role))
             for at, plain in own:  # the template's own text is no reason to stay
                 above = []
                 while at in elements and at:
                     above.append(at)
-                    at = elements[at][0]
+                    at = elements[at].parent
                 for role in [*above, 0] if not at else []:
-                    elements[role] = (elements[role][0], elements[role][1] - plain, elements[role][2])
+                    elements[role] = elements[role].less(plain)
             yield pa.record_batch(
-                [pa.array([host]), pa.array([walk(elements)], pa.int64()), pa.array([fixed], pa.list_(pa.int64()))],
+                [pa.array([host]), pa.array([walk(elements, template=True)], pa.int64()), pa.array([fixed], pa.list_(pa.int64()))],
                 ["host", "main", "fixed"],
             )
 

@@ -127,3 +127,62 @@ def test_shared_words_inside_a_paragraph_stay(shipped):
 def test_an_icon_takes_no_text(odd):
     assert templates.Page(f"<body>{odd}<article><p>text</p></article></body>").text(None) == "text"
     assert templates.Page("<body><svg><text>no</text></svg><article><p>text</p></article></body>").text(None) == "text"
+
+
+NEUTRAL = {"nav": "qa", "article": "qb", "footer": "qc", "header": "qd", "aside": "qe", "main": "qf", "section": "qg"}
+
+
+def neutral(html):
+    """The page with neutral names for its parts."""
+    for name, mark in NEUTRAL.items():
+        html = re.sub(rf"<{name}\b[^>]*>", f'<div class="{mark}">', html)
+        html = html.replace(f"</{name}>", "</div>")
+    return re.sub(r'class="ad"', 'class="qz"', html)
+
+
+def test_the_template_tells_slots_apart(shipped, small):
+    rows = small("SELECT page_id, url, html FROM pages", "/root/testdata/sf0.01")
+    schema = "page_id long, url string, html string"
+    named = {r.page_id: r.text for r in templates.extract(shipped.createDataFrame(rows, schema)).collect()}
+    plain = [(i, u, neutral(h)) for i, u, h in rows]
+    found = {r.page_id: r.text for r in templates.extract(shipped.createDataFrame(plain, schema)).collect()}
+    assert sum(found[i] == named[i] for i in named) >= 0.99 * len(rows)
+    # No page says so by itself, and a page without a host is read whole.
+    assert not any(templates.Page(h).text(None) == named[i] for i, _, h in plain)
+    alone = [(i, None, h) for i, _, h in plain[:5]]
+    for r in templates.extract(shipped.createDataFrame(alone, schema)).collect():
+        assert named[r.page_id] in r.text
+
+
+def pages_of(*bodies):
+    return [(k, f"http://h.example/{k}", f"<html><head><title>t</title></head><body>{b}</body></html>") for k, b in enumerate(bodies)]
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        # Bare text of what holds the slots, and paragraphs beside them, belong to the article.
+        "bare intro {k} <div class=x>menu {k}</div><div class=y><p>long text of page {k} with some words</p></div>",
+        "<div class=x><p>intro {k}</p></div><div class=y><p>long text of page {k} with some words</p></div>",
+    ],
+)
+def test_slots_are_not_left_with_their_paragraphs(shipped, around):
+    rows = pages_of(*[around.format(k=k) for k in range(6)])
+    for r in templates.extract(shipped.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert f"intro {r.page_id}" in r.text and f"page {r.page_id} with" in r.text
+
+
+def test_a_page_unlike_its_host_keeps_its_paragraphs(shipped):
+    usual = "<div class=x>advert {k}</div><div class=y><p>long text of page {k} with some words and more words</p></div>"
+    rows = pages_of(*[usual.format(k=k) for k in range(8)], usual.format(k=8) + "<div class=z><p>a part of its own</p></div>")
+    text = {r.page_id: r.text for r in templates.extract(shipped.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert "advert" not in text[0] and text[0].startswith("long text of page 0")
+    assert text[8].endswith("a part of its own")
+
+
+def test_slots_equal_a_plain_count():
+    page = templates.Page("<body>own <b>bold</b><div class=a><p>one two</p>three<ul><li>four</li></ul></div><div class=a><a>x</a>five</div></body>")
+    slots = {n.name + str(n.parent): page.elements()[n.role] for n in page.nodes}
+    body, div = next(s for k, s in slots.items() if k.startswith("body")), next(s for k, s in slots.items() if k.startswith("div"))
+    assert (body.plain, body.para, body.bare) == (len("ownboldonetwothreefourfive"), len("onetwofour"), len("ownbold"))
+    assert (div.plain, div.para, div.bare) == (len("onetwothreefourfive"), len("onetwofour"), len("threefive"))
