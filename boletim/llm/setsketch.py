@@ -8,10 +8,11 @@ likelihood of every overlap; only pairs whose likeliest overlap is near the thre
 sets.
 
 Work. Documents of equal sets form a class, of which only one goes on. Buckets of equal members are kept once. At
-first each class goes to its largest bucket only; links found there join classes into components. Then only buckets
-that still hold several components are gone through, and only pairs across components: a pair inside a component can't
-change the result. So a large group of near copies is not written out as pairs. A bucket is handled in blocks of
-bounded size, each block against each other one.
+first each class goes to its largest bucket only, and to one block of bounded size there; links found inside blocks join classes into
+components. One member of each component then goes on to fewer blocks, until these join nothing more. Then only buckets
+that still hold several components are gone through in full, and only pairs across components: a pair inside a component can't
+change the result. The largest component's blocks are compared with the others' blocks there and not with each other, so a
+group of near copies is neither written out as pairs nor copied to pairs of blocks: what is placed grows with its size.
 
 Chance. At the threshold of 0.85 a pair meets in none of 22 bands of 5 registers once in 400,000; for other thresholds the
 bands are chosen for the same chance. No cap or sample is involved.
@@ -254,14 +255,39 @@ def block_links(reps, components, sides, texts, sketches, both: bool, own: Schem
     return sorted({(forest.root(int(c)), int(c)) for c in component if forest.root(int(c)) != int(c)})
 
 
-def _links(members: DataFrame, texts: DataFrame, own: Scheme) -> DataFrame:
-    """Links ``a, b`` between components, from the members ``bucket, blocks, rep, component`` of the buckets."""
+def _inside(members: DataFrame) -> DataFrame:
+    """Each member in one block of its bucket: ``bucket, rep, component, side, left, right``."""
     side = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("blocks")).cast("int")
-    placed = members.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
+    return members.select("bucket", "rep", "component", side.alias("side"), side.alias("left"), side.alias("right"))
+
+
+def _apart(members: DataFrame) -> DataFrame:
+    """Members so placed that those of different components of a bucket meet.
+
+    The largest component of a bucket of several blocks has blocks of its own, which don't meet each other, so a group of near copies
+    is placed as often as the rest of its bucket has blocks, which is mostly once.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"))
+    rows = members.join(largest, "bucket").withColumns({
+        "large": F.when(F.col("blocks") > 1, F.ceil(F.col("blocks") * F.col("top.n") / F.col("size"))).otherwise(0).cast("int"),
+        "small": F.when(F.col("blocks") > 1, F.ceil(F.col("blocks") * (1 - F.col("top.n") / F.col("size")))).otherwise(1).cast("int"),
+    }).withColumn("small", F.greatest("small", F.lit(1)))
+    own = (F.col("blocks") > 1) & (F.col("component") == F.col("top.component"))
+    number = F.xxhash64("rep", F.lit(11))
+    place = F.when(own, -1 - F.pmod(number, F.greatest("large", F.lit(1)))).otherwise(F.pmod(number, F.col("small"))).cast("int")
+    among = F.sequence(F.lit(0), F.col("small") - 1)
+    beyond = F.when(F.col("large") > 0, F.sequence(-F.col("large"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    met = F.when(own, among).otherwise(F.concat(beyond, among))
+    placed = rows.withColumn("side", place).withColumn("other", F.explode(met))
+    return placed.select(
         "bucket", "rep", "component", "side",
         F.least("side", "other").alias("left"), F.greatest("side", "other").alias("right"),
     )
+
+
+def _links(placed: DataFrame, texts: DataFrame, own: Scheme) -> DataFrame:
+    """Links ``a, b`` between components, from members placed in blocks."""
     rows = placed.join(texts, "rep").repartition("bucket", "left", "right")
     rows = rows.sortWithinPartitions("bucket", "left", "right", "rep")
 
@@ -311,16 +337,29 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = text.join(candidates, "rep").join(sketches, "rep")
     texts = written(texts, "texts")
 
-    home = texts.select("home.bucket", "home.blocks", "rep", F.col("rep").alias("component"))
-    first = written(_links(home, texts.select("rep", "text", "registers"), own), "first-links")
-    joined = components(first)
-    labelled = members.join(joined, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "blocks", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = labelled.join(several.filter("low <> high").select("bucket"), "bucket", "left_semi")
-    second = _links(open_, texts.select("rep", "text", "registers"), own)
-    final = components(first.union(second))
+    stored = texts.select("rep", "text", "registers")
+    home = texts.select("home.bucket", "home.size", "home.blocks", "rep")
+    links = written(_links(_inside(home.withColumn("component", F.col("rep"))), stored, own), "links")
+    joined, before = components(links), None
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        named = rows.join(joined, F.col("rep") == F.col("node"), "left")
+        return named.select("bucket", "size", "blocks", "rep", F.coalesce("component", "rep").alias("component"))
+
+    # What the blocks of a large bucket have found is joined by one member of each component, in fewer blocks each time.
+    while True:
+        heads = labelled(home.filter("blocks > 1")).groupBy("bucket", "size", "blocks", "component").agg(F.min("rep").alias("rep"))
+        crowd = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1")
+        heads = written(heads.join(crowd, "bucket").withColumn("blocks", F.ceil(F.col("blocks") * F.col("heads") / F.col("size"))), "heads")
+        number = heads.count()
+        if not number or (before is not None and number >= before):
+            break
+        links, before = links.union(written(_links(_inside(heads), stored, own), "links")), number
+        joined = components(links)
+    named = labelled(members)
+    several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = named.join(several.filter("low <> high").select("bucket"), "bucket", "left_semi")
+    final = components(links.union(_links(_apart(written(open_, "open")), stored, own)))
 
     component = classes.select("key_a", "key_b", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("component")

@@ -4,9 +4,10 @@ A token is a tag at its path (element names with class and id, digits aside, and
 among their like) or a run of text at its path. Over the pages of a host each token has an occurrence vector: how often each
 page holds it. Tokens of equal vectors form an equivalence class; a class is valid if it has at least ``LEAST_TOKENS`` tokens
 (an element counts as two) and occurs in ``LEAST_SHARE`` of the pages. Paths put the elements of valid classes inside
-each other: the template of the host. Between its tokens lie the slots; the template is walked from the root into the
-container that holds most of the host's plain text as long as no plain text but the template's own stays outside, to an article
-or main element at most, and what fills the slots below is the article.
+each other: the template of the host. Between its tokens lie the slots. The template is walked from the root into the
+slot that holds the paragraphs and headings of the host's pages, past slots beside it that hold bare text and links, to an article
+or main element at most; what fills it is the article. A page that has paragraphs outside that slot, or text in what holds it, is walked
+by itself, as is one without a template: into a container only while all of the page's plain text is in it.
 Page text inside menus, headers, footers, sidebars, notices, adverts, forms, comments and lists of links is no plain text. A
 class, id or role says so, unless the container holds a main element, an article or most of the page's text. A run
 of text that the template fixes is left out where neither its element nor one around it, up to the main container, is a paragraph;

@@ -100,6 +100,48 @@ def test_groups_of_documents(shipped, monkeypatch):
     check(shipped, rows)
 
 
+def test_a_large_group_is_placed_in_proportion(shipped, monkeypatch):
+    """Rows that meet in blocks, for a group of near copies of one size and of four times that."""
+    monkeypatch.setattr(setsketch, "BLOCK_ROWS", 16)
+    placed, inner = [], setsketch._links
+
+    def counted(rows, *others):
+        placed.append(rows.count())
+        return inner(rows, *others)
+
+    monkeypatch.setattr(setsketch, "_links", counted)
+    totals = []
+    for size in (60, 240):
+        random = np.random.default_rng(size)
+        texts = family(random, size, 1, 200) + family(random, 3, 1) + ["u%d a b c d e f" % k for k in range(20)]
+        placed.clear()
+        check_links(shipped, list(enumerate(texts)))
+        totals.append(sum(placed))
+    assert totals[1] < 6 * totals[0]
+
+
+def check_links(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, label = wanted(rows)
+    assert {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()} == label
+
+
+def test_two_large_groups_that_are_near_each_other(shipped, monkeypatch):
+    """Two families that share most of their text, below the threshold but for some members."""
+    random = np.random.default_rng(12)
+    monkeypatch.setattr(setsketch, "BLOCK_ROWS", 12)
+    base = ["w%d" % n for n in random.integers(0, 10**6, 200)]
+    other = base[:186] + ["v%d" % n for n in random.integers(0, 10**6, 14)]
+    texts = []
+    for start, size in ((base, 50), (other, 30)):
+        for _ in range(size):
+            copy = list(start)
+            for at in random.integers(0, 200, random.integers(0, 6)):
+                copy[at] = "e%d" % random.integers(0, 10**6)
+            texts.append(" ".join(copy))
+    check_links(shipped, list(enumerate(random.permutation(texts).tolist())))
+
+
 def test_tables_without_links(shipped):
     check(shipped, [])
     check(shipped, [(1, ""), (2, None), (3, "a b c d e f")])
