@@ -346,9 +346,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         named = rows.join(joined, F.col("rep") == F.col("node"), "left")
         return named.select("bucket", "size", "blocks", "rep", F.coalesce("component", "rep").alias("component"))
 
-    # What the blocks of a large bucket have found is joined by one member of each component, in fewer blocks each time.
+    # What the blocks of large buckets have found is joined by one member of each component, in fewer blocks each time.
     while True:
-        heads = labelled(home.filter("blocks > 1")).groupBy("bucket", "size", "blocks", "component").agg(F.min("rep").alias("rep"))
+        heads = labelled(members.filter("blocks > 1")).groupBy("bucket", "size", "blocks", "component").agg(F.min("rep").alias("rep"))
         crowd = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1")
         heads = written(heads.join(crowd, "bucket").withColumn("blocks", F.ceil(F.col("blocks") * F.col("heads") / F.col("size"))), "heads")
         number = heads.count()
