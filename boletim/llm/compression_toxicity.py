@@ -20,6 +20,7 @@ language, source and id are never inputs.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -127,10 +128,10 @@ class _Runs:
     """Runs of a text's words, the spaces beside them included: of ``RUNS`` bytes, and whole words.
 
     ``keys`` has for each kind the runs as numbers, ``start`` and ``end`` their places in ``text`` and ``word`` the
-    number of the word each lies in; ``before`` has a hash of the word before each word.
+    number of the word each lies in; ``before`` has a hash of the word before each word. With ``only`` there is one kind.
     """
 
-    def __init__(self, source: bytes) -> None:
+    def __init__(self, source: bytes, only: int | None = None) -> None:
         self.text = b" " + b" ".join(source.lower().split()) + b" "
         data = np.frombuffer(self.text, np.uint8)
         spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
@@ -141,14 +142,17 @@ class _Runs:
         whole = span_hashes(data, starts, ends)
         self.before = np.concatenate([np.zeros(1, np.uint64), whole])
         self.keys, self.start, self.end, self.word = [], [], [], []
-        for n in RUNS:
+        for kind, n in enumerate(RUNS):
+            if only not in (None, kind):
+                continue
             at = np.arange(max(len(data) - n + 1, 0))
             at = at[spaces[at + n - 1] == spaces[at + 1]]  # no space but at the ends
             key = np.zeros(len(at), np.uint64)
             for k in range(n):
                 key = key << np.uint64(8) | data[at + k].astype(np.uint64)
             self._add(key, at, at + n, np.searchsorted(ends, at, "right"))
-        self._add(whole, starts - 1, ends + 1, np.arange(len(starts)))
+        if only in (None, len(RUNS)):
+            self._add(whole, starts - 1, ends + 1, np.arange(len(starts)))
 
     def _add(self, key, start, end, word) -> None:
         self.keys.append(key)
@@ -166,27 +170,31 @@ def telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     least = max(LEAST_TOXIC, np.log(CHANCE) / np.log(min(max(share, 1e-6), 0.5)))
     weight = len(ordinary) / max(len(toxic), 1)
     kinds = range(len(RUNS) + 1)
-    held = [_Runs(text) for text in toxic]
+    # Runs are some sixty times a text, so they are made anew in each pass and never held for all texts.
     telling = []
     for kind in kinds:
-        empty = [np.zeros(0, np.uint64)]
-        run, seen = np.unique(np.concatenate(empty + [np.unique(r.keys[kind]) for r in held]), return_counts=True)
+        found = [np.zeros(0, np.uint64), *(np.unique(_Runs(text, kind).keys[0]) for text in toxic)]
+        run, seen = np.unique(np.concatenate(found), return_counts=True)
         telling.append([run[seen >= least], seen[seen >= least], np.zeros(int((seen >= least).sum()), np.int64)])
+        del found, run, seen
     for text in ordinary:
         runs = _Runs(text)
         for kind, (run, _, other) in enumerate(telling):
             other[np.isin(run, runs.keys[kind])] += 1
     out: list[bytes] = []
+    chosen = [run[seen * weight >= LEAST_SHARE / (1 - LEAST_SHARE) * other] for run, seen, other in telling]
+    pairs = [[np.zeros((0, 2), np.uint64)] for _ in kinds]
+    for text in toxic:
+        r = _Runs(text)
+        for kind in kinds:
+            hit = np.isin(r.keys[kind], chosen[kind])
+            pairs[kind].append(np.unique(np.column_stack([r.keys[kind][hit], r.before[r.word[kind][hit]]]), axis=0))
     varied = []
-    for kind, (run, seen, other) in enumerate(telling):
-        run = run[seen * weight >= LEAST_SHARE / (1 - LEAST_SHARE) * other]
-        pairs = [np.zeros((0, 2), np.uint64)]
-        for r in held:
-            hit = np.isin(r.keys[kind], run)
-            pairs.append(np.unique(np.column_stack([r.keys[kind][hit], r.before[r.word[kind][hit]]]), axis=0))
-        own, words = np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
+    for kind in kinds:
+        own, words = np.unique(np.unique(np.concatenate(pairs[kind]), axis=0)[:, 0], return_counts=True)
         varied.append(own[words >= least])
-    for r in held:
+    for text in toxic:
+        r = _Runs(text)
         spans: dict[int, tuple[int, int]] = {}
         for kind in kinds:
             for i in np.flatnonzero(np.isin(r.keys[kind], varied[kind])).tolist():
@@ -257,8 +265,9 @@ def train(texts: list[bytes], labels: list[int]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary of labelled texts, in whatever order they come."""
     pairs = sorted(zip(texts, labels, strict=True))
     toxic, ordinary = [t for t, y in pairs if y], [t for t, y in pairs if not y]
-    cut = [w for t in ordinary for w in windows(t)]
-    plain = _trained(cut[:: -(-len(cut) // ORDINARY_WINDOWS) or 1], ORDINARY_BYTES, ORDINARY_SEGMENTS)
+    step = -(-sum(len(windows(t)) for t in ordinary) // ORDINARY_WINDOWS) or 1
+    cut = itertools.islice((w for t in ordinary for w in windows(t)), 0, None, step)
+    plain = _trained(list(cut), ORDINARY_BYTES, ORDINARY_SEGMENTS)
     passages = telling_passages(toxic, ordinary)
     least, most = TOXIC_BYTES
     size = min(max(TOXIC_SHARE * sum(map(len, set(passages))), least), most)
@@ -340,9 +349,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bound: int = FIT_ROWS)
     def trained(batches):
         held: dict[int, list] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                held.setdefault(row["part"], []).append((row["text"].encode(), row["label"]))
-        for part, rows in sorted(held.items()):
+            texts, marks = batch.column("text").cast(pa.binary()), batch.column("label").to_pylist()
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                held.setdefault(part, []).append((texts[i].as_py(), marks[i]))
+        for part in sorted(held):
+            rows = held.pop(part)
             texts, marks = [t for t, _ in rows], [y for _, y in rows]
             if part < FOLDS:
                 out = [(y, d.astype("<i4").tobytes(), None) for y, d in held_distances(texts, marks, part)]
