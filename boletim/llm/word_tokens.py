@@ -9,8 +9,10 @@ a new entry. Anything else goes to the library as it stands. Both tables are bou
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import regex
@@ -48,6 +50,10 @@ class WordTokens:
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``dtype``."""
+        return [b"".join(own) for own in self.each(texts)]
+
+    def each(self, texts: Sequence[bytes]) -> list[list[bytes]]:
+        """Ids of each word of each text."""
         cut = [text.split() for text in texts]
         missing = set(chain.from_iterable(cut)).difference(self._words)
         if len(self._words) + len(missing) > self._most[0]:
@@ -56,7 +62,7 @@ class WordTokens:
         if missing:
             self._learn(missing)
         find = self._words.__getitem__
-        return [b"".join(map(find, words)) for words in cut]
+        return [list(map(find, words)) for words in cut]
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self._pieces) > self._most[1]:
@@ -98,6 +104,15 @@ class WordTokens:
             start = end
 
 
+def words_are_independent(path: str) -> bool:
+    """If the file marks word ends and cuts at the pieces that this module knows."""
+    file = json.loads(Path(path).read_text())
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    pattern = (steps[0].get("pattern") or {}).get("Regex", "")
+    lowers = any(n.get("type") == "Lowercase" for n in (file.get("normalizer") or {}).get("normalizers", []))
+    return file["model"].get("end_of_word_suffix") == _WORD_END and lowers and f"{pattern}|\\n" == _PIECE.pattern
+
+
 _LOADED: dict[tuple[str, int, int], WordTokens] = {}
 
 
