@@ -12,7 +12,7 @@ with such links become one. Every group is then compared in full, in double prec
 exact links inside it without writing out pairs. The
 number of tables of planes there follows from the rows of a label: a pair at the threshold that nothing else connects is
 lost once in 10,000 at any size. An audit compares a bounded set of vectors with all others; if any of them lacks a
-link, more tables and rounds follow, and an error is raised if that doesn't help.
+link, more tables and rounds follow. Labels that still lack links after ``AUDITS`` of them are compared in full, block against block.
 
 Vectors equal in every component form a class and go on as one; their copies count in the number of links.
 
@@ -39,7 +39,7 @@ ROUNDS = 6
 BLOCK_ROWS = 256
 #: Chance that a pair at the threshold shares no cell in any of the tables where groups are compared with each other.
 MISS = 1e-4
-#: Vectors the audit compares with all others, and its most repeats.
+#: Vectors the audit compares with all others, and audits before a label is compared in full.
 AUDIT_ROWS = 256
 AUDITS = 3
 #: Rows in a cell and in a block where groups are compared with each other.
@@ -328,11 +328,10 @@ def _in_groups(classes: DataFrame, groups: DataFrame, threshold: float) -> DataF
     return rows.mapInArrow(links, "rep long, links long, root long")
 
 
-def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> int:
-    """Vectors of a bounded set that lack a link, against a comparison with all; a vector with many counts like one with few."""
+def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """``label, size`` of the vectors of a bounded set that lack a link, against a comparison with all; a vector with many counts like
+    one with few."""
     asked = classes.orderBy(F.xxhash64("rep", F.lit(13)), "rep").limit(AUDIT_ROWS).select("rep", "label", "size", "vector").collect()
-    if not asked:
-        return 0
     groups: dict[tuple, list] = {}
     for row in asked:
         groups.setdefault((row["label"], row["size"]), []).append(row)
@@ -359,7 +358,17 @@ def _audit(classes: DataFrame, found: DataFrame, threshold: float) -> int:
     true = classes.select("rep", "label", "size", "vector", "copies").mapInArrow(counts, "rep long, true long")
     true = true.groupBy("rep").agg(F.sum("true").alias("true"))
     both = true.join(found.select("rep", "links"), "rep", "left")
-    return both.filter(F.col("true") > F.coalesce("links", F.lit(0))).count()
+    lacking = both.filter(F.col("true") > F.coalesce("links", F.lit(0))).select(F.col("rep").alias("_rep"))
+    # At most a row for each audited vector.
+    return classes.join(F.broadcast(lacking), F.col("rep") == F.col("_rep")).select("label", "size").distinct()
+
+
+def _whole(classes: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups``, where all vectors of one of the given labels and lengths are one group."""
+    own = classes.join(F.broadcast(labels), ["label", "size"])  # at most a row for each audited vector
+    first = own.groupBy("label", "size").agg(F.min("rep").alias("component"))
+    whole = own.join(F.broadcast(first), ["label", "size"]).select(F.col("rep").alias("node"), "component")
+    return groups.join(own.select(F.col("rep").alias("node")), "node", "left_anti").select("node", "component").union(whole)
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -371,7 +380,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     )
     classes = written(classes, "classes")
     lists = across = None
-    for audit in range(AUDITS):
+    for audit in range(AUDITS + 1):
+        if audit == AUDITS:  # labels where more tables haven't helped are compared in full
+            inside = written(_in_groups(classes, written(_whole(classes, lacking, groups), "whole"), threshold), "inside")
+            found = written(inside.groupBy("rep").agg(F.sum("links").alias("links")), "found")
+            break
         fresh = _start(classes, audit * TABLES)
         lists = written(_lists(fresh if lists is None else lists.union(fresh)), "lists")
         lists = descend(lists, classes, threshold)
@@ -384,11 +397,9 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
         groups = components(near.union(more))
         inside = written(_in_groups(classes, groups, threshold), "inside")
         found = written(inside.groupBy("rep").agg(F.sum("links").alias("links")), "found")
-        missing = _audit(classes, found, threshold)
-        if not missing:
+        lacking = written(_audit(classes, found, threshold), "lacking")
+        if lacking.isEmpty():
             break
-    else:
-        raise RuntimeError(f"{missing} of {AUDIT_ROWS} audited vectors lack links after {AUDITS} rounds of tables")
     joined = components(inside.select(F.col("root").alias("a"), F.col("rep").alias("b")))
     verdict = classes.join(found, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").select(
         *same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

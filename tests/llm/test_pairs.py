@@ -225,18 +225,20 @@ def test_tables_grow_with_the_planes():
     assert nn_descent.tables_for(0, 0.93) == 1
 
 
-def test_audit_sees_a_lost_pair_beside_a_hot_group(shipped, monkeypatch):
+def test_a_label_whose_links_are_lost_is_compared_in_full(shipped, monkeypatch):
+    # The hot group's links hide nothing: the audit counts vectors. A search that never finds the lone pair ends in full blocks.
     random = np.random.default_rng(12)
-    centre, lone = random.normal(size=(2, 24))
-    points = [centre + random.normal(0, 0.01, 24) for _ in range(100)] + [lone, lone + random.normal(0, 0.01, 24)]
-    rows = [(i, p.tolist(), 0) for i, p in enumerate(points)]
-    df = shipped.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    assert {r.n_links for r in nn_descent.near_duplicates(df).collect()} == {1, 99}
-    in_groups = nn_descent._in_groups
-    lose = lambda classes, groups, threshold: in_groups(classes, groups.filter("node < 100"), threshold)
-    monkeypatch.setattr(nn_descent, "_in_groups", lose)
-    with pytest.raises(RuntimeError, match="2 of 256"):
-        nn_descent.near_duplicates(df)
+    centre, lone, other = random.normal(size=(3, 24))
+    points = [(centre + random.normal(0, 0.01, 24), 0) for _ in range(100)]
+    points += [(lone, 0), (lone + random.normal(0, 0.01, 24), 0), *((other + random.normal(0, 0.01, 24), 1) for _ in range(3))]
+    rows = [(i, p.tolist(), label) for i, (p, label) in enumerate(points)]
+    start, across, whole, asked = nn_descent._start, nn_descent._across, nn_descent._whole, []
+    monkeypatch.setattr(nn_descent, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nn_descent, "_start", lambda *x: start(*x).filter("u NOT IN (100, 101) AND v NOT IN (100, 101)"))
+    monkeypatch.setattr(nn_descent, "_across", lambda *x: across(*x).filter("a NOT IN (100, 101) AND b NOT IN (100, 101)"))
+    monkeypatch.setattr(nn_descent, "_whole", lambda c, labels, g: (asked.extend(labels.collect()), whole(c, labels, g))[1])
+    check_vectors(shipped, rows)
+    assert [(r.label, r.size) for r in asked] == [("0", 24)]
 
 
 def test_the_pipeline_links_from_four_fifths(shipped):
