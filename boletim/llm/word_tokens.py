@@ -50,10 +50,16 @@ class WordTokens:
 
     def encode(self, texts: Sequence[bytes]) -> list[bytes]:
         """Ids of each text as little-endian numbers of ``dtype``."""
-        return [b"".join(own) for own in self.each(texts)]
+        find, cut = self._words.__getitem__, self._cut(texts)
+        return [b"".join(map(find, words)) for words in cut]
 
     def each(self, texts: Sequence[bytes]) -> list[list[bytes]]:
         """Ids of each word of each text."""
+        find, cut = self._words.__getitem__, self._cut(texts)
+        return [list(map(find, words)) for words in cut]
+
+    def _cut(self, texts: Sequence[bytes]) -> list[list[bytes]]:
+        """The words of each text, all of them in the table."""
         cut = [text.split() for text in texts]
         missing = set(chain.from_iterable(cut)).difference(self._words)
         if len(self._words) + len(missing) > self._most[0]:
@@ -61,8 +67,7 @@ class WordTokens:
             missing = set(chain.from_iterable(cut))
         if missing:
             self._learn(missing)
-        find = self._words.__getitem__
-        return [list(map(find, words)) for words in cut]
+        return cut
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self._pieces) > self._most[1]:
