@@ -10,6 +10,7 @@ a new entry. Anything else goes to the library as it stands. Both tables are bou
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Sequence
 from itertools import chain
 from pathlib import Path
@@ -21,8 +22,9 @@ from tokenizers import Tokenizer
 #: Entries of the tables of words and of pieces.
 WORDS = 900_000
 PIECES = 700_000
-#: Pieces that go through the library in one text.
+#: Pieces that go through the library in one text, and texts in one call.
 _TOGETHER = 64
+_TEXTS = 64
 
 #: Fixed values of the tokenizer file: its pieces (and the line feed put between words), and the mark of a word's last
 #: token.
@@ -34,15 +36,19 @@ _COMMON = regex.compile(r"[!-~¡-į\n]*")
 
 class WordTokens:
     def __init__(self, path: str, words: int = WORDS, pieces: int = PIECES) -> None:
+        # Spark gives each core a task; the library needs no threads of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         size = max(self._library.get_vocab().values()) + 1
         self.tokens = [self._library.id_to_token(i) or "" for i in range(size)]
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
+        #: No token's id: it stands between two words while they are learnt.
+        self._between = np.iinfo(self.dtype).max
         self._ends = np.array([t.endswith(_WORD_END) for t in self.tokens])
         self._words: dict[bytes, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {"\n": self.dtype.type(self._between).tobytes()}
         self._most = words, pieces
 
     def library_ids(self, text: str) -> np.ndarray:
@@ -71,7 +77,7 @@ class WordTokens:
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self._pieces) > self._most[1]:
-            self._pieces.clear()
+            self._pieces = {"\n": self._pieces["\n"]}
         known = list(words)
         text = b"\n".join(known).decode()
         if "<|" in text or not _COMMON.fullmatch(text):
@@ -84,29 +90,26 @@ class WordTokens:
         # One pass cuts all words; a line feed stands between two of them.
         found = _PIECE.findall(text.lower())
         missing = list(set(found).difference(self._pieces))
-        for at in range(0, len(missing), _TOGETHER):
-            self._learn_pieces([p for p in missing[at : at + _TOGETHER] if p != "\n"])
-        find, own, at = self._pieces.__getitem__, [], 0
-        for piece in found:
-            if piece == "\n":
-                self._words[known[at]] = own[0] if len(own) == 1 else b"".join(own)
-                own, at = [], at + 1
-            else:
-                own.append(find(piece))
-        self._words[known[at]] = own[0] if len(own) == 1 else b"".join(own)
+        for at in range(0, len(missing), _TOGETHER * _TEXTS):
+            self._learn_pieces(missing[at : at + _TOGETHER * _TEXTS])
+        raw = b"".join(map(self._pieces.__getitem__, found))
+        ends = np.flatnonzero(np.frombuffer(raw, self.dtype) == self._between) * self.dtype.itemsize
+        starts = [0, *(ends + self.dtype.itemsize).tolist()]
+        own = [raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True)]
+        self._words.update(zip(known, own, strict=True))
 
     def _learn_pieces(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
-        ids = self.library_ids(" ".join(pieces))
-        ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) != len(pieces):
-            self._pieces.update((p, self.library_ids(p).tobytes()) for p in pieces)
-            return
-        raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
-        for piece, end in zip(pieces, ends.tolist(), strict=True):
-            self._pieces[piece] = raw[start * size : end * size]
-            start = end
+        size = self.dtype.itemsize
+        parts = [pieces[at : at + _TOGETHER] for at in range(0, len(pieces), _TOGETHER)]
+        found = self._library.encode_batch_fast([" ".join(part) for part in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, found, strict=True):
+            ids = np.array(encoding.ids, self.dtype)
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(part):
+                self._pieces.update((p, self.library_ids(p).tobytes()) for p in part)
+                continue
+            raw, cut = ids.tobytes(), [0, *(size * ends).tolist()]
+            self._pieces.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
 
 
 def words_are_independent(path: str) -> bool:
