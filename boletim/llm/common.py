@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised pass holds at a time; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Short rows, of numbers and a sketch at most, that one task writes.
+PACKED_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many tasks as ``rows`` short rows take, at least one for each core.
+
+    A table of few rows is else written as a file for each part of a shuffle, and opening those takes longer than its rows.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PACKED_ROWS)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boletim.llm.common import fresh, steps, written
+from boletim.llm.common import fresh, packed, steps, written
 from boletim.llm.components import components
 from boletim.llm.words import PLACES, mix, split_words, window_hashes
 
@@ -325,10 +325,13 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key_a", "key_b").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")
     )
-    classes = written(classes, "classes")
-    bands = written(_bands(classes, own), "bands")
-    buckets = written(_buckets(bands), "buckets")
-    members = written(bands.select("bucket", "rep").join(buckets, "bucket"), "members")
+    # Bounds of the rows of each table, which are counted in its files.
+    classes = written(packed(classes, sketched.count()), "classes")
+    number = classes.count() * own.bands
+    bands = written(packed(_bands(classes, own), number), "bands")
+    buckets = written(packed(_buckets(bands), number), "buckets")
+    members = written(packed(bands.select("bucket", "rep").join(buckets, "bucket"), number), "members")
+    number = members.count()
 
     # A class may be the representative of several texts only if ids repeat; then any of them may stand for it.
     candidates = members.groupBy("rep").agg(F.max(F.struct("size", "bucket", "blocks")).alias("home"))
@@ -339,7 +342,11 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     stored = texts.select("rep", "text", "registers")
     home = texts.select("home.bucket", "home.size", "home.blocks", "rep")
-    links = written(_links(_inside(home.withColumn("component", F.col("rep"))), stored, own), "links")
+
+    def stored_links(placed: DataFrame) -> DataFrame:
+        return written(_links(placed, stored, own), "links")
+
+    links = stored_links(_inside(home.withColumn("component", F.col("rep"))))
     joined, before = components(links), None
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -350,16 +357,18 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     while True:
         heads = labelled(members.filter("blocks > 1")).groupBy("bucket", "size", "blocks", "component").agg(F.min("rep").alias("rep"))
         crowd = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("heads")).filter("heads > 1")
-        heads = written(heads.join(crowd, "bucket").withColumn("blocks", F.ceil(F.col("blocks") * F.col("heads") / F.col("size"))), "heads")
-        number = heads.count()
-        if not number or (before is not None and number >= before):
+        heads = heads.join(crowd, "bucket").withColumn("blocks", F.ceil(F.col("blocks") * F.col("heads") / F.col("size")))
+        heads = written(packed(heads, number if before is None else before), "heads")
+        now = heads.count()
+        if not now or (before is not None and now >= before):
             break
-        links, before = links.union(written(_links(_inside(heads), stored, own), "links")), number
+        links, before = links.union(stored_links(_inside(heads))), now
         joined = components(links)
     named = labelled(members)
     several = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = named.join(several.filter("low <> high").select("bucket"), "bucket", "left_semi")
-    final = components(links.union(_links(_apart(written(open_, "open")), stored, own)))
+    open_ = written(packed(open_, number), "open")
+    final = components(links.union(stored_links(_apart(open_))))
 
     component = classes.select("key_a", "key_b", "rep").join(final, F.col("rep") == F.col("node"), "left").select(
         "key_a", "key_b", F.coalesce("component", "rep").alias("component")

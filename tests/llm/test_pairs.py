@@ -6,7 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from boletim.llm import nn_descent, setsketch
+from boletim.llm import common, nn_descent, setsketch
+from boletim.llm import components as components_module
 from boletim.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -157,6 +158,51 @@ def test_components_of_chains(shipped):
     assert sorted(map(tuple, found)) == sorted([(i, 0) for i in range(51)] + [(n, 90) for n in (90, 95, 100)])
 
 
+def test_small_tables_take_few_tasks_however_many_parts_a_shuffle_has(shipped, monkeypatch):
+    links = shipped.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    parts, inner = [], common.written
+
+    def counted(df, name):
+        out = inner(df, name)
+        parts.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components_module, "written", counted)
+    before = {k: shipped.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        shipped.conf.set("spark.sql.shuffle.partitions", 40 + 2 * shipped.sparkContext.defaultParallelism)
+        shipped.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(links).collect()
+    finally:
+        for k, v in before.items():
+            shipped.conf.set(k, v)
+    assert sorted(found) == [(n, 0) for n in range(41)]
+    assert max(parts) <= shipped.sparkContext.defaultParallelism
+
+
+def test_labels_are_shuffled_where_links_are_many(shipped, monkeypatch):
+    monkeypatch.setattr(components_module, "SENT_LINKS", 3)
+    links = [(i, i + 1) for i in range(30)] + [(100, 140), (140, 120), (7, 7)]
+    found = components(shipped.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(found) == sorted([(n, 0) for n in range(31)] + [(n, 100) for n in (100, 120, 140)])
+
+
+def test_links_of_blocks_are_found_once(shipped, monkeypatch):
+    plans, inner = [], setsketch.components
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().toString())
+        return inner(links)
+
+    monkeypatch.setattr(setsketch, "components", seen)
+    words = [f"w{n}" for n in range(60)]
+    rows = [(n, " ".join(words[:50] + [f"x{n}"])) for n in range(4)] + [(9, "quite another text of some words")]
+    docs = shipped.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    assert plans and not any("MapInArrow" in plan for plan in plans)
+
+
 def vectors_wanted(rows):
     usable = {
         k: (np.array(e, float), label)
