@@ -1,5 +1,6 @@
 """Token ids, chunks and token files against the tokenizers library."""
 
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,39 @@ def test_odd_texts():
         assert WordUnits(WORDS).decode(np.array(ids, int)) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_known_words_are_looked_up_together():
+    random = np.random.default_rng(8)
+    texts = [" ".join("w%d" % n for n in random.integers(0, 20_000, 20_000)).encode() for _ in range(8)]
+    words = WordTokens(PATH)
+    took = {}
+    for run in (words.encode, words.each):
+        run(texts)
+        times = []
+        for _ in range(3):
+            began = time.thread_time()
+            found = run(texts)
+            times.append(time.thread_time() - began)
+        took[run.__name__] = min(times)
+    assert [b"".join(x) for x in found] == words.encode(texts)
+    assert took["encode"] < 0.8 * took["each"]
+
+
+def test_words_that_differ_in_length_or_nulls_only():
+    letters = "abcdefghijklmnop"
+    words = [letters[:n] + end for n in range(17) for end in ("", "\0", "\0\0", "q")]
+    texts = [" ".join(words), *words, "", " ".join(reversed(words)), "x" + "\0" * 14, "x" + "\0" * 15]
+    for own in (WordTokens(PATH), WordTokens(PATH, words=5, pieces=3)):
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u2").tolist() for x in own.encode([t.encode() for t in texts])] == [library_ids(t) for t in texts]
+
+
+def test_more_words_than_the_table_holds_at_first():
+    texts = [" ".join("v%d" % n for n in range(a, a + 9000)) for a in (0, 4000, 30_000, 0)]
+    for own in (WordTokens(PATH), WordTokens(PATH, words=10_000, pieces=500)):
+        for text in texts:
+            assert np.frombuffer(own.encode([text.encode()])[0], "<u2").tolist() == library_ids(text)
+
+
 def test_shared_passages_are_cut_alike_and_encoded_once():
     random = np.random.default_rng(5)
     passage = " ".join("w%d" % n for n in random.integers(0, 10**6, 3000)).encode()
